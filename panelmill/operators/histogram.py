@@ -12,13 +12,15 @@ from panelmill.functions.numeric import histogram_bin
 def histogram(df: DataFrame, value: str, facet: str, bins: int = 50) -> DataFrame:
     """Rows per facet and bin; all facets share the bin edges. Empty bins and missing values are left out.
 
-    The range is a one-row subquery over the same rows, so nothing passes through the driver.
+    The range is a one-row subquery. It reads the columns the count reads, so where both need the
+    same shuffle below, Spark runs it once.
     """
-    low, high = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
-    number = histogram_bin(F.col(value), low, high, bins)
+    rows = df.filter(F.col(value).isNotNull()).select(facet, F.col(value).alias("value"))
+    per_facet = rows.groupBy(facet).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    limits = per_facet.agg(F.struct(F.min("low").alias("low"), F.max("high").alias("high"))).scalar()
+    number = histogram_bin(F.col("value"), limits["low"], limits["high"], bins)
     return (
-        df.filter(F.col(value).isNotNull())
-        .select(facet, number.alias("bin")).groupBy(facet, "bin").agg(F.count(F.lit(1)).alias("count"))
+        rows.select(facet, number.alias("bin")).groupBy(facet, "bin").agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.asc_nulls_last(facet), "bin")
     )
 

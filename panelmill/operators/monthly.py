@@ -4,26 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.functions.dates import month_start
+from panelmill.functions.dates import day, month_start
 
 DROPPED_PREFIX = "p_"
 
 
+def in_months(panel: DataFrame, *months: str) -> DataFrame:
+    """Rows of the months that start on the given dates, as date ranges a scan can skip files by."""
+    test = F.lit(False)
+    for first in months:
+        test = test | ((F.col("date") >= day(first)) & (F.col("date") < F.add_months(day(first), 1)))
+    return panel.filter(test)
+
+
 def monthly_close(panel: DataFrame) -> DataFrame:
     """Every column as of the entity's last row of the month, dated the first of the month.
 
-    One map-side reduction per (code, month). Each column is its own ``max_by``, so the optimizer
-    drops the columns a query does not read, and text columns do not weigh on a numeric query.
+    A first rank per (code, month) is taken on both sides of the shuffle, so each task sends one row
+    per code and month. That beats one ``max_by`` per column: a text column in an aggregation
+    buffer rules out hashing, and each column compares dates again.
     """
     kept = [c for c in panel.columns if c not in ("code", "date") and not c.startswith(DROPPED_PREFIX)]
-    closed = panel.groupBy("code", month_start(F.col("date")).alias("month_date")).agg(
-        F.max("date").alias("data_date"), *[F.max_by(c, "date").alias(c) for c in kept])
+    latest = Window.partitionBy("code", "month_date").orderBy(F.desc_nulls_last("date"))
+    ranked = panel.select("code", "date", *kept, month_start(F.col("date")).alias("month_date"))
+    closed = ranked.withColumn("rank", F.row_number().over(latest)).filter("rank = 1")
     return closed.select(
-        "code", F.year("month_date").alias("year"), F.month("month_date").alias("month"), "data_date",
-        *kept, F.col("month_date").alias("date"))
+        "code", F.year("month_date").alias("year"), F.month("month_date").alias("month"),
+        F.col("date").alias("data_date"), *kept, F.col("month_date").alias("date"))
 
 
 def month_end(series: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:

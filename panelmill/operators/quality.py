@@ -140,7 +140,7 @@ def inactive_entities(df: DataFrame) -> DataFrame:
     last_seen = F.max("latest").over(Window.partitionBy("code"))
     return (
         entities.withColumn("last_seen", last_seen)
-        .filter(F.col("last_seen") < df.agg(F.max("date")).scalar())
+        .filter(F.col("last_seen") < entities.agg(F.max("latest")).scalar())
         .drop("last_seen")
         .withColumn("length", span_days(F.col("latest"), F.col("earliest")))
         .orderBy(F.desc_nulls_last("latest"), "code")

@@ -56,18 +56,17 @@ def station_snapshot(stations: DataFrame, fresh_within: str = "INTERVAL 1 DAY")
     """Adds capacity, use in percent, freshness, missing-position mark and size class.
 
     A station is fresh within one day of the snapshot's own latest connection. Size classes cut the
-    capacity range in three; the limits are one-row subqueries.
+    capacity range in three. All three limits come from one one-row subquery.
     """
     capacity = F.col("EMPTY") + F.col("FULL")
-    limits = stations.select(capacity.alias("TOTAL"))
-    low, high = limits.agg(F.min("TOTAL")).scalar(), limits.agg(F.max("TOTAL")).scalar()
-    latest = stations.agg(F.max("LAST_CONNECTION")).scalar()
+    limits = stations.agg(F.struct(
+        F.min(capacity).alias("low"), F.max(capacity).alias("high"), F.max("LAST_CONNECTION").alias("latest"))).scalar()
     return stations.withColumns({
         "TOTAL": capacity,
         "RATE": F.floor(F.try_divide(F.col("FULL"), capacity) * 100).cast("int"),
-        "ACTIVE_SUSPICION": flag(F.col("LAST_CONNECTION") >= latest - F.expr(fresh_within)),
+        "ACTIVE_SUSPICION": flag(F.col("LAST_CONNECTION") >= limits["latest"] - F.expr(fresh_within)),
         "TEST_DATA": flag((F.col("LAT") == 0) | (F.col("LON") == 0)),
-        "TOTAL_BIN": equal_width_label(capacity, low, high, SIZES),
+        "TOTAL_BIN": equal_width_label(capacity, limits["low"], limits["high"], SIZES),
     })
 
 

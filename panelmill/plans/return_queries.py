@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.operators import coverage, histogram, movers, returns
+from panelmill.operators.monthly import in_months, monthly_close
 from panelmill.plans.common import Entry, rounded, with_views
-from panelmill.plans.views import FUND_DAILY_SQL, FUND_MONTHLY_SQL, fund_daily, fund_monthly
+from panelmill.plans.views import FUND_DAILY_SQL, FUND_MONTHLY_SQL, fund_daily
 
 START, GRACE_DAYS = "1999-11-15", 30
 FIRST, LAST = "1999-11-01", "2000-11-01"
@@ -20,8 +21,13 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
     return returns.daily_change_stats(fund_daily(spark, d), START, GRACE_DAYS)
 
 
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Month closes of the two anchor months only."""
+    return monthly_close(in_months(fund_daily(spark, d), FIRST, LAST))
+
+
 def _annual(spark: SparkSession, d: str) -> DataFrame:
-    return returns.annual_change(fund_monthly(spark, d), FIRST, LAST)
+    return returns.annual_change(_anchors(spark, d), FIRST, LAST)
 
 
 def _risk(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +35,7 @@ def _risk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    return returns.two_date_compare(fund_monthly(spark, d), FIRST, LAST)
+    return returns.two_date_compare(_anchors(spark, d), FIRST, LAST)
 
 
 _DAILY_VIEW = f"""daily AS (
@@ -185,12 +191,12 @@ QUERIES = {
     "mover_category_mix_bottom": Entry(
         lambda s, d: movers.category_mix(movers.bottom_movers(_compared(s, d))), _mix("ASC")),
     "valuation_snapshot": Entry(
-        lambda s, d: histogram.valuation_snapshot(fund_monthly(s, d), LAST).select(
+        lambda s, d: histogram.valuation_snapshot(_anchors(s, d), LAST).select(
             "code", "contribution", "fund_type", "people", "total_value", "total_value_millions", "total_value_bins"),
         with_views("SELECT * FROM valued", FUND_MONTHLY_SQL, _VALUATION_VIEW)),
     "valuation_hist": Entry(
-        lambda s, d: histogram.valuation_histogram(fund_monthly(s, d), LAST),
+        lambda s, d: histogram.valuation_histogram(_anchors(s, d), LAST),
         _histogram("total_value_millions", "contribution")),
     "investors_hist": Entry(
-        lambda s, d: histogram.investors_histogram(fund_monthly(s, d), LAST), _histogram("people", "fund_type")),
+        lambda s, d: histogram.investors_histogram(_anchors(s, d), LAST), _histogram("people", "fund_type")),
 }
