@@ -9,13 +9,30 @@ from pyspark.sql import functions as F
 
 from panelmill.operators.monthly import month_end, monthly_close
 from panelmill.operators.reshape import spread
+from panelmill.sources.sizes import broadcast_if_small
 
 ASSETS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 SERIES = ("b_1", "b_2", "b_3", "b_4", "b_5")
 
+# Declared, so that no job runs to infer them.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cents(amount: str) -> Column:
@@ -24,10 +41,10 @@ def cents(amount: str) -> Column:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per code with everything that depends on the code alone."""
+    """One row per code with everything that depends on the code alone; broadcast while suppliers are few."""
     supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     balance = F.col("s_acctbal")
-    return (
+    joined = (
         supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
         .join(region, nation.n_regionkey == region.r_regionkey)
         .select(
@@ -39,6 +56,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
             balance.between(1000, 7000).alias("contribution"),
         )
     )
+    return broadcast_if_small(joined, supplier)
 
 
 def fund_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +66,12 @@ def fund_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     see at most one row per calendar day and code, however many lines one supplier has.
     """
     lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("code"), F.col("l_shipdate").cast("date").alias("date"),
+        "l_suppkey", F.col("l_shipdate").cast("date").alias("date"),
         "l_quantity", "l_orderkey", cents("l_extendedprice").alias("cents"))
-    daily = lines.groupBy("code", "date").agg(
+    daily = lines.groupBy("l_suppkey", "date").agg(
         (F.sum("cents") / 100.0).alias("total_value"), F.sum("l_quantity").alias("shares"),
-        F.count_distinct("l_orderkey").alias("people"))
+        F.count_distinct("l_orderkey").alias("people"),
+    ).withColumn("code", F.col("l_suppkey").cast("string"))
     return daily.join(entities(spark, sf_dir), "code").select(
         "date", "code", "name", "fund_type", "category", "company_code", "company_name",
         F.try_divide("total_value", "shares").alias("price"), "shares", "people", "total_value",
@@ -68,9 +87,9 @@ def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") != "R")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     valued = lines.join(part, lines.l_partkey == part.p_partkey).select(
-        F.col("l_suppkey").cast("string").alias("code"), F.col("l_shipdate").cast("date").alias("date"),
-        "p_type", cents("l_extendedprice").alias("cents"))
-    wide = spread(valued, ["date", "code"], "p_type", "cents", ASSETS, combine=F.sum)
+        "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), "p_type", cents("l_extendedprice").alias("cents"))
+    wide = spread(valued, ["date", "l_suppkey"], "p_type", "cents", ASSETS, combine=F.sum).withColumn(
+        "code", F.col("l_suppkey").cast("string"))
     total = sum((F.coalesce(F.col(a), F.lit(0)) for a in ASSETS), F.lit(0))
     percent = [F.try_divide(F.col(a) * 100, total).alias(f"p_{a}") for a in ASSETS]
     types = entities(spark, sf_dir).select("code", "fund_type")
