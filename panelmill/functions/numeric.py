@@ -35,7 +35,7 @@ def histogram_bin(value: Column, low: Column, high: Column, bins: int) -> Column
     All values fall in bin 0 when the range is empty.
     """
     position = F.floor(F.try_divide(value - low, high - low) * bins).cast("int")
-    return F.when(value.isNotNull(), F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(0)))
+    return F.when(value.isNotNull(), F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)))
 
 
 def equal_width_label(value: Column, low: Column, high: Column, labels: Sequence[str]) -> Column:

@@ -76,8 +76,11 @@ def attach_company(panel: DataFrame, conformed: DataFrame, length: int = PREFIX_
     The row count cannot change: a name that matches two companies is an error.
     """
     companies = F.count(F.lit(1)).over(Window.partitionBy("name_start")).alias("_companies")
+    # A few companies hold most names. Taking the prefix anew puts a shuffle between the check and the
+    # join; only then can the join be split at run time where the companies are too many to broadcast.
     dim = conformed.filter(F.col("name_start").isNotNull()).select(
-        "name_start", "company_name", "company_code", companies)
+        "name_start", "company_name", "company_code", companies,
+    ).withColumn("name_start", prefix(F.col("name_start"), length))
     renamed = panel.withColumn("name", latin_ascii(F.col("name")))
     failure = F.raise_error(F.concat(F.lit("two companies share the prefix "), F.col("name_start")))
     return (

@@ -77,17 +77,24 @@ def on_latest_date(df: DataFrame) -> DataFrame:
     return df.filter(F.col("date") == df.agg(F.max("date")).scalar())
 
 
+def active_codes(df: DataFrame) -> DataFrame:
+    """Codes with a row on the latest date, for a semi or anti join, which takes repeated codes.
+
+    There is no distinct on purpose: a skewed join is split at run time only if both its inputs come
+    straight from a shuffle, and one code may hold most rows of the other side.
+    """
+    return on_latest_date(df).select("code")
+
+
 def clean_panel(df: DataFrame, excluded: Sequence[str] = EXCLUDED_CODES) -> DataFrame:
     """Rows that pass every rule, of codes that still report on the latest date that passes."""
     passing = _passing(df, excluded)
-    active = on_latest_date(passing).select("code").distinct()
-    return passing.join(active, "code", "left_semi").select(*df.columns)
+    return passing.join(active_codes(passing), "code", "left_semi").select(*df.columns)
 
 
 def inactive_rows(df: DataFrame) -> DataFrame:
     """Rows of codes without data on the latest date."""
-    active = on_latest_date(df).select("code").distinct()
-    return df.join(active, "code", "left_anti").select(*df.columns)
+    return df.join(active_codes(df), "code", "left_anti").select(*df.columns)
 
 
 def cleaning_funnel(df: DataFrame, excluded: Sequence[str] = EXCLUDED_CODES) -> DataFrame:

@@ -110,8 +110,8 @@ _VALUATION_VIEW = f"""valued AS (
 
 
 def _histogram(value: str, facet: str) -> str:
-    return with_views(f"""SELECT {facet}, CAST(COALESCE(LEAST(floor(CAST({value} - lo AS DOUBLE)
-    / NULLIF(hi - lo, 0) * 50), 49), 0) AS INTEGER) AS bin, count(*) AS count
+    return with_views(f"""SELECT {facet}, CAST(LEAST(COALESCE(floor(CAST({value} - lo AS DOUBLE)
+    / NULLIF(hi - lo, 0) * 50), 0), 49) AS INTEGER) AS bin, count(*) AS count
 FROM valued, (SELECT min({value}) AS lo, max({value}) AS hi FROM valued)
 WHERE {value} IS NOT NULL GROUP BY 1, 2""", FUND_MONTHLY_SQL, _VALUATION_VIEW)
 

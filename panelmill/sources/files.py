@@ -16,10 +16,9 @@ Paths = str | Sequence[str]
 
 
 def _scan(spark: SparkSession, paths: Paths, kind: T.StructType, file_format: str, **options: str) -> DataFrame:
-    reader = spark.read.schema(kind).options(**options)
-    if file_format == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False).option("encoding", "UTF-8")
-    return reader.format(file_format).load(paths if isinstance(paths, str) else list(paths))
+    checked = {"header": "true", "enforceSchema": "false", "encoding": "UTF-8"} if file_format == "csv" else {}
+    reader = spark.read.format(file_format).schema(kind).options(**(checked | options))
+    return reader.load(paths if isinstance(paths, str) else list(paths))
 
 
 def _union_by_type(spark: SparkSession, paths: Mapping[str, Paths], kind: T.StructType, file_format: str,

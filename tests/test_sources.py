@@ -1,0 +1,149 @@
+"""Readers and writers on hand-written files."""
+
+from __future__ import annotations
+
+import datetime as dt
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of
+from panelmill import schema
+from panelmill.functions import dates
+from panelmill.operators import benchmark
+from panelmill.operators.consolidate import consolidate_daily
+from panelmill.sources import crosstab, files
+from panelmill.sources.sizes import broadcast_if_small, size_in_bytes
+
+
+def write(path: Path, *lines: str) -> str:
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return str(path)
+
+
+PRICE_HEAD = ",".join(schema.PRICE_NAMES)
+ALLOCATION_HEAD = ",".join([*schema.ALLOCATION_KEYS, *schema.ALLOCATION_NAMES])
+
+
+def allocation_line(date, code, *percent):
+    return ",".join([date, code, "ad", *[str(p) for p in percent], *[""] * (26 - len(percent))])
+
+
+def test_sheets_become_one_panel(spark, tmp_path):
+    mutual = [write(tmp_path / f"m{y}.csv", PRICE_HEAD, f"{y}-01-02,AAA,A FONU ŞİŞLİ,1.5,10,3,15") for y in (2019, 2020)]
+    pension = write(tmp_path / "p.csv", PRICE_HEAD, "2020-01-02,BBB,B FONU,,10,3,15")
+    prices = files.read_prices(spark, {"mutual": mutual, "pension": pension})
+    assert prices.columns == [*schema.PRICE_NAMES.values(), "fund_type"]
+    assert prices.count() == 3
+
+    shares = files.read_allocations(spark, {
+        "mutual": write(tmp_path / "ma.csv", ALLOCATION_HEAD, allocation_line("2020-01-02", "AAA", 40, 60)),
+        "pension": write(tmp_path / "pa.csv", ALLOCATION_HEAD, allocation_line("2020-01-03", "CCC", 100))})
+    assert len([c for c in shares.columns if c.startswith("p_")]) == 26
+
+    categories = files.read_categories(spark, {
+        write(tmp_path / "mc.csv", "Fund Code,Fund Name,Umbrella Fund Type", "AAA,x,Equity"): ("Fund Code", "Umbrella Fund Type"),
+        write(tmp_path / "pc.csv", "Fund Type,Fund Code", "Bond,BBB"): ("Fund Code", "Fund Type")})
+    panel = consolidate_daily(prices, shares, categories)
+    assert len(panel.columns) == 35
+    rows = {(str(r.date), r.code): r for r in panel.collect()}
+    assert len(rows) == 4
+    both = rows["2020-01-02", "AAA"]
+    assert (both.name, both.price, both.category, both.p_Bank_Bills, both.p_Other) == ("A FONU ŞİŞLİ", 1.5, "Equity", 40.0, 60.0)
+    assert rows["2020-01-02", "BBB"].price is None and rows["2020-01-03", "CCC"].fund_type == "pension"
+
+
+def test_unexpected_heading_is_refused(spark, tmp_path):
+    path = write(tmp_path / "x.csv", PRICE_HEAD.replace("FİYAT", "PRICE"), "2020-01-02,AAA,A,1.5,10,3,15")
+    with pytest.raises(Exception, match="header|CSV"):
+        files.read_prices(spark, {"mutual": path}).collect()
+
+
+@pytest.mark.parametrize("layout, text", [
+    (dates.DAY_MONTH_YEAR, "31-01-2020"), (dates.YEAR_MONTH, "2020-01"), (dates.MONTH_YEAR, "01-2020")])
+def test_series_leave_out_footers(spark, tmp_path, layout, text):
+    path = write(tmp_path / "s.csv", "Tarih,Fiyat", f"{text},2.5", f"{text},", "Notlar:,", ",3.0")
+    rows = files.read_series(spark, path, "b_usd", layout).collect()
+    assert [(r.name, r.price, r.date.year, r.date.month) for r in rows] == [("b_usd", 2.5, 2020, 1)]
+
+
+def crosstab_lines(years):
+    names = ("Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık")
+    yield "﻿|||||Sütunlar|"
+    yield "Satırlar|||||Türkiye-TR|"
+    for y in years:
+        for m, name in enumerate(names, 1):
+            yield f"|||{y if m == 1 else ''}|{m:02}-{name}|{y + m / 100}|"
+    yield "||||||"
+
+
+@pytest.mark.parametrize("split_bytes", ["134217728", "300"])
+def test_crosstab_carries_the_year_over_file_splits(spark, tmp_path, split_bytes):
+    path = write(tmp_path / "cpi.csv", *crosstab_lines(range(2005, 2021)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if split_bytes == "300" else "4194304")
+    try:
+        df = crosstab.cpi_crosstab(spark, path)
+        parts = crosstab.read_crosstab(spark, path).select("split").distinct().count()
+        rows = {(r.date, r.price) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert (parts > 5) == (split_bytes == "300")
+    assert rows == {(dt.date(y, m, 1), y + m / 100) for y in range(2005, 2021) for m in range(1, 13)}
+
+
+def test_crosstab_feeds_the_wide_benchmarks(spark, tmp_path):
+    series = crosstab.cpi_crosstab(spark, write(tmp_path / "cpi.csv", *crosstab_lines((2015, 2016))))
+    wide = benchmark.benchmark_wide(series)
+    assert wide.columns == ["date", *schema.BENCHMARKS]
+    assert wide.count() == 12
+
+
+def test_stages(spark, frame, tmp_path):
+    df = frame([("a", "2019-01-02", 1.0), ("a", "2020-01-02", 2.0)], "code string, date date, price double")
+    files.write_daily_panel(df, str(tmp_path / "panel"))
+    back = files.read_stage(spark, str(tmp_path / "panel"))
+    assert back.count() == 2
+    assert "PartitionFilters: [isnotnull(year" in plan_of(back.filter("year = 2020"))
+    files.write_stage(df, str(tmp_path / "plain"))
+    assert files.read_stage(spark, str(tmp_path / "plain")).count() == 2
+
+
+def test_csv_is_utf8(spark, frame, tmp_path):
+    files.write_csv(frame([("ŞİŞLİ ığ",)], "name string"), str(tmp_path / "out"))
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("*.csv"))
+    assert "ŞİŞLİ ığ" in text
+
+
+def test_companies_file(spark, tmp_path):
+    path = write(tmp_path / "c.csv", "company_code,company_name,company_type", "AKP,AK PORTFÖY,mutual")
+    assert files.read_companies(spark, path).first().company_name == "AK PORTFÖY"
+
+
+def test_broadcast_needs_a_small_source(spark, frame, tmp_path):
+    files.write_stage(frame([("a", 1)], "code string, n int"), str(tmp_path / "dim"))
+    dim = files.read_stage(spark, str(tmp_path / "dim"))
+    size = size_in_bytes(dim)
+    assert size and size > 0
+    hinted = "ResolvedHint (strategy=broadcast)"
+    marked = lambda df: hinted in df._jdf.queryExecution().analyzed().toString()
+    assert marked(broadcast_if_small(dim, dim))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(size - 1))
+    try:
+        assert not marked(broadcast_if_small(dim, dim))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bucketed_panel_needs_no_shuffle_for_windows(spark, frame):
+    from panelmill.functions.windows import previous
+
+    df = frame([(f"c{i}", "2020-01-02", float(i)) for i in range(20)], "code string, date date, price double")
+    files.write_bucketed_panel(df, "panel_by_code", 4)
+    try:
+        panel = spark.table("panel_by_code")
+        assert "Exchange" not in plan_of(panel.withColumn("p", previous(F.col("price"), ["code"])))
+    finally:
+        spark.sql("DROP TABLE panel_by_code")
