@@ -30,12 +30,12 @@ def ascii_table() -> tuple[str, str]:
 
 
 def latin_ascii(text: Column) -> Column:
-    """Latin text with every letter replaced by its plain ASCII form."""
+    """Latin text with every letter replaced by its plain ASCII form; text of single bytes stays as it is."""
     source, target = ascii_table()
     plain = F.translate(text, source, target)
     for letter, expansion in EXPANDED.items():
         plain = F.replace(plain, F.lit(letter), F.lit(expansion))
-    return plain
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain)
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.operators import coverage, histogram, movers, returns
-from panelmill.operators.monthly import in_months, monthly_close
 from panelmill.plans.common import Entry, rounded, with_views
-from panelmill.plans.views import FUND_DAILY_SQL, FUND_MONTHLY_SQL, fund_daily
+from panelmill.plans.views import FUND_DAILY_SQL, FUND_MONTHLY_SQL, fund_daily, fund_monthly
 
 START, GRACE_DAYS = "1999-11-15", 30
 FIRST, LAST = "1999-11-01", "2000-11-01"
@@ -23,7 +22,7 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
     """Month closes of the two anchor months only."""
-    return monthly_close(in_months(fund_daily(spark, d), FIRST, LAST))
+    return fund_monthly(spark, d, FIRST, LAST)
 
 
 def _annual(spark: SparkSession, d: str) -> DataFrame:

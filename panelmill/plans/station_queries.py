@@ -19,8 +19,9 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     record = F.struct(
         F.col("event_id").cast("string").alias("ID"), F.col("user_id").cast("string").alias("STATION_NO"),
         F.col("event_type").alias("STATION_NAME"), F.lit("1").alias("ACTIVE"),
-        F.col("value").cast("string").alias("EMPTY"), F.get_json_object("props", "$.k").alias("FULL"),
-        F.col("event_type").alias("LAT"), F.lit("0").alias("LON"),
+        F.col("value").cast("string").alias("EMPTY"),
+        F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k")).otherwise("n/a").alias("FULL"),
+        F.lit("41.5").alias("LAT"), F.lit("0").alias("LON"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("LAST_CONNECTION"))
     document = F.to_json(F.struct(F.array(record).alias("dataList")))
     rows = st.typed_stations(st.station_rows(table(spark, d, "events").select(document.alias("value"))))
@@ -28,8 +29,9 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DOCUMENTS = """SELECT CAST(event_id AS VARCHAR) AS ID, CAST(user_id AS DOUBLE) AS STATION_NO, event_type AS STATION_NAME,
-  '1' AS ACTIVE, CAST(value AS DOUBLE) AS EMPTY, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS "FULL",
-  TRY_CAST(event_type AS DOUBLE) AS LAT, CAST(0 AS DOUBLE) AS LON, date_trunc('second', ts) AS LAST_CONNECTION
+  '1' AS ACTIVE, CAST(value AS DOUBLE) AS EMPTY, TRY_CAST(CASE WHEN event_type <> 'error'
+    THEN json_extract_string(props, '$.k') ELSE 'n/a' END AS DOUBLE) AS "FULL",
+  CAST(41.5 AS DOUBLE) AS LAT, CAST(0 AS DOUBLE) AS LON, date_trunc('second', ts) AS LAST_CONNECTION
 FROM events"""
 
 _SNAPSHOT_VIEW = """totals AS (SELECT *, EMPTY + "FULL" AS TOTAL FROM stations),

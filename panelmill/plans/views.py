@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.operators.monthly import month_end, monthly_close
+from panelmill.operators.monthly import in_months, month_end, monthly_close
 from panelmill.operators.reshape import spread
 from panelmill.sources.sizes import broadcast_if_small
 
@@ -59,27 +59,33 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broadcast_if_small(joined, supplier)
 
 
-def fund_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily panel, one row per (code, date).
+def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures per (code, date).
 
-    Lines are reduced to that key first, with a map-side combine, so the join and every later window
-    see at most one row per calendar day and code, however many lines one supplier has.
+    Lines are reduced to that key first, with a map-side combine, so the joins and windows above see
+    at most one row per calendar day and code, however many lines one supplier has.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.col("l_shipdate").cast("date").alias("date"),
         "l_quantity", "l_orderkey", cents("l_extendedprice").alias("cents"))
-    daily = lines.groupBy("l_suppkey", "date").agg(
+    return lines.groupBy("l_suppkey", "date").agg(
         (F.sum("cents") / 100.0).alias("total_value"), F.sum("l_quantity").alias("shares"),
         F.count_distinct("l_orderkey").alias("people"),
-    ).withColumn("code", F.col("l_suppkey").cast("string"))
-    return daily.join(entities(spark, sf_dir), "code").select(
-        "date", "code", "name", "fund_type", "category", "company_code", "company_name",
-        F.try_divide("total_value", "shares").alias("price"), "shares", "people", "total_value",
-        "OKS", "participation", "contribution")
+    ).select(
+        F.col("l_suppkey").cast("string").alias("code"), "date",
+        F.try_divide("total_value", "shares").alias("price"), "shares", "people", "total_value")
+
+
+def fund_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily panel, one row per (code, date)."""
+    return daily_values(spark, sf_dir).join(entities(spark, sf_dir), "code")
 
 
-def fund_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monthly_close(fund_daily(spark, sf_dir))
+def fund_monthly(spark: SparkSession, sf_dir: str, *months: str) -> DataFrame:
+    """Month closes, of the given months or all. Entity columns join the closes, not the days."""
+    daily = daily_values(spark, sf_dir)
+    closes = monthly_close(in_months(daily, *months) if months else daily)
+    return closes.join(entities(spark, sf_dir), "code")
 
 
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
