@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.operators.monthly import in_months, month_end, monthly_close
@@ -35,28 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cents(amount: str) -> Column:
+def cents(amount: str) -> str:
     """Money as whole cents: exact to add up, and a fixed-width aggregation buffer."""
-    return F.round(F.col(amount) * 100).cast("bigint")
+    return f"CAST(round({amount} * 100) AS BIGINT)"
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per code with everything that depends on the code alone; broadcast while suppliers are few."""
     supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    balance = F.col("s_acctbal")
-    joined = (
-        supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-        .join(region, nation.n_regionkey == region.r_regionkey)
-        .select(
-            F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("name"),
-            F.col("r_name").alias("fund_type"), F.col("n_name").alias("category"),
-            F.col("n_nationkey").cast("string").alias("company_code"),
-            F.concat(F.lit("CO_"), (F.col("n_nationkey") % 7).cast("string")).alias("company_name"),
-            (balance < 2000).alias("OKS"), (balance >= 5000).alias("participation"),
-            balance.between(1000, 7000).alias("contribution"),
-        )
-    )
-    return broadcast_if_small(joined, supplier)
+    joined = supplier.join(nation, F.expr("s_nationkey = n_nationkey")).join(region, F.expr("n_regionkey = r_regionkey"))
+    return broadcast_if_small(joined.selectExpr(
+        "CAST(s_suppkey AS STRING) AS code", "s_name AS name", "r_name AS fund_type", "n_name AS category",
+        "CAST(n_nationkey AS STRING) AS company_code", "concat('CO_', CAST(n_nationkey % 7 AS STRING)) AS company_name",
+        "s_acctbal < 2000 AS OKS", "s_acctbal >= 5000 AS participation",
+        "s_acctbal BETWEEN 1000 AND 7000 AS contribution"), supplier)
 
 
 def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +57,15 @@ def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines are reduced to that key first, with a map-side combine, so the joins and windows above see
     at most one row per calendar day and code, however many lines one supplier has.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", F.col("l_shipdate").cast("date").alias("date"),
-        "l_quantity", "l_orderkey", cents("l_extendedprice").alias("cents"))
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey", "CAST(l_shipdate AS DATE) AS date", "l_quantity", "l_orderkey",
+        f"{cents('l_extendedprice')} AS cents")
     return lines.groupBy("l_suppkey", "date").agg(
-        (F.sum("cents") / 100.0).alias("total_value"), F.sum("l_quantity").alias("shares"),
-        F.count_distinct("l_orderkey").alias("people"),
-    ).select(
-        F.col("l_suppkey").cast("string").alias("code"), "date",
-        F.try_divide("total_value", "shares").alias("price"), "shares", "people", "total_value")
+        F.expr("sum(cents) / 100D AS total_value"), F.expr("sum(l_quantity) AS shares"),
+        F.expr("count(DISTINCT l_orderkey) AS people"),
+    ).selectExpr(
+        "CAST(l_suppkey AS STRING) AS code", "date", "try_divide(total_value, shares) AS price",
+        "shares", "people", "total_value")
 
 
 def fund_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,38 +82,36 @@ def fund_monthly(spark: SparkSession, sf_dir: str, *months: str) -> DataFrame:
 
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each asset in a fund-day's value, in percent; returned lines are not in it."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") != "R")
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    valued = lines.join(part, lines.l_partkey == part.p_partkey).select(
-        "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), "p_type", cents("l_extendedprice").alias("cents"))
-    wide = spread(valued, ["date", "l_suppkey"], "p_type", "cents", ASSETS, combine=F.sum).withColumn(
-        "code", F.col("l_suppkey").cast("string"))
-    total = sum((F.coalesce(F.col(a), F.lit(0)) for a in ASSETS), F.lit(0))
-    percent = [F.try_divide(F.col(a) * 100, total).alias(f"p_{a}") for a in ASSETS]
+    valued = lines.join(part, F.expr("l_partkey = p_partkey")).selectExpr(
+        "l_suppkey", "CAST(l_shipdate AS DATE) AS date", "p_type", f"{cents('l_extendedprice')} AS cents")
+    wide = spread(valued, ["date", "l_suppkey"], "p_type", "cents", ASSETS, combine=F.sum)
+    total = " + ".join(f"coalesce({a}, 0)" for a in ASSETS)
+    percent = [f"try_divide({a} * 100, {total}) AS p_{a}" for a in ASSETS]
     types = entities(spark, sf_dir).select("code", "fund_type")
-    return wide.join(types, "code").select("date", "code", "fund_type", *percent)
+    return wide.selectExpr("date", "CAST(l_suppkey AS STRING) AS code", *percent).join(types, "code").select(
+        "date", "code", "fund_type", *[f"p_{a}" for a in ASSETS])
 
 
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-level quotes with the faults a raw file has: missing, zero and renamed values."""
-    code = F.col("l_suppkey").cast("string")
-    renamed = (F.col("l_quantity") == 50) & (F.col("l_discount") == 0.1) & (F.col("l_tax") == 0.08)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_shipdate").cast("date").alias("date"), code.alias("code"),
-        F.when(renamed, F.concat(F.lit("Fund "), code, F.lit(" B")))
-        .when(F.col("l_discount") > 0, F.concat(F.lit("Fund "), code)).alias("name"),
-        F.when(F.col("l_quantity") > 1, F.col("l_linestatus")).alias("category"),
-        F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("price"),
-        F.when(F.col("l_tax") == 0, 0.0).otherwise(F.col("l_quantity")).alias("shares"))
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_shipdate AS DATE) AS date", "CAST(l_suppkey AS STRING) AS code",
+        """CASE WHEN l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08
+             THEN concat('Fund ', CAST(l_suppkey AS STRING), ' B')
+           WHEN l_discount > 0 THEN concat('Fund ', CAST(l_suppkey AS STRING)) END AS name""",
+        "CASE WHEN l_quantity > 1 THEN l_linestatus END AS category",
+        "CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END AS price",
+        "CASE WHEN l_tax = 0 THEN 0 ELSE l_quantity END AS shares")
 
 
 def benchmark_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily series, one per order priority; combined on the map side to one row per series and day."""
-    rows = table(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.concat(F.lit("b_"), F.substring("o_orderpriority", 1, 1)).alias("name"),
-        cents("o_totalprice").alias("cents"))
-    return rows.groupBy("date", "name").agg((F.sum("cents") / 100.0 / F.count(F.lit(1))).alias("price"))
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_orderdate AS DATE) AS date", "concat('b_', substring(o_orderpriority, 1, 1)) AS name",
+        f"{cents('o_totalprice')} AS cents")
+    return rows.groupBy("date", "name").agg(F.expr("sum(cents) / 100D / count(1) AS price"))
 
 
 def benchmark_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,15 +120,13 @@ def benchmark_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One station per user: views are free places, clicks are places in use."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = "CAST(get_json_object(props, '$.k') AS INT)"
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("STATION_NO")).agg(
-        F.count_if(F.col("event_type") == "view").alias("EMPTY"),
-        F.count_if(F.col("event_type") == "click").alias("FULL"),
-        F.min(k).alias("LAT"), F.max(k).alias("LON"), F.max("ts").alias("LAST_CONNECTION"),
-    ).select(
-        F.col("STATION_NO").alias("ID"), "STATION_NO",
-        F.concat(F.lit("Station "), F.col("STATION_NO").cast("string")).alias("STATION_NAME"),
-        F.lit(1).alias("ACTIVE"), "EMPTY", "FULL", "LAT", "LON", "LAST_CONNECTION")
+        F.expr("count_if(event_type = 'view') AS EMPTY"), F.expr("count_if(event_type = 'click') AS FULL"),
+        F.expr(f"min({k}) AS LAT"), F.expr(f"max({k}) AS LON"), F.expr("max(ts) AS LAST_CONNECTION"),
+    ).selectExpr(
+        "STATION_NO AS ID", "STATION_NO", "concat('Station ', CAST(STATION_NO AS STRING)) AS STATION_NAME",
+        "1 AS ACTIVE", "EMPTY", "FULL", "LAT", "LON", "LAST_CONNECTION")
 
 
 ENTITIES_SQL = """entities AS (
