@@ -18,10 +18,9 @@ from panelmill.session import build_session
 
 HEADLINE = (
     "consolidate_daily", "dq_profile", "clean_panel", "cleaning_funnel", "inactive_entities", "flag_counts",
-    "prefix_cardinality", "attach_company", "latin_ascii_text", "entity_counts_by_category", "entity_coverage",
-    "history_years_hist", "daily_change_stats", "annual_change", "risk_return", "risk_return_by_category",
-    "top_movers", "valuation_hist", "monthly_close", "cpi_crosstab", "benchmark_wide", "panel_join_benchmark",
-    "cohort_index", "profit_counts", "best_k_series", "compare_growth", "compare_risk", "choices_fund",
+    "prefix_cardinality", "attach_company", "latin_ascii_text", "entity_coverage", "daily_change_stats",
+    "risk_return", "top_movers", "valuation_hist", "monthly_close", "cpi_crosstab", "benchmark_wide",
+    "panel_join_benchmark", "cohort_index", "best_k_series", "compare_growth", "choices_fund",
     "station_documents", "station_snapshot",
 )
 

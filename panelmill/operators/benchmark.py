@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions.dates import day
@@ -31,10 +31,11 @@ def benchmark_wide(series: DataFrame, names: Sequence[str] = BENCHMARKS, first:
     """One row per month with a column per series, from ``first`` on, without the last months.
 
     ``series`` is all series in long form, so one aggregation replaces a chain of full outer joins.
+    The rank from the end is not partitioned: it runs over one row per month.
     """
     wide = spread(series, ["date"], "name", "price", names).filter(F.col("date") >= day(first))
-    latest = wide.select("date").orderBy(F.desc("date")).limit(drop_last)
-    return wide.join(F.broadcast(latest), "date", "left_anti")  # at most drop_last rows
+    from_end = F.row_number().over(Window.orderBy(F.desc("date")))
+    return wide.withColumn("_from_end", from_end).filter(F.col("_from_end") > drop_last).drop("_from_end")
 
 
 def benchmark_long(wide: DataFrame, names: Sequence[str] = BENCHMARKS) -> DataFrame:

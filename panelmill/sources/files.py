@@ -56,17 +56,18 @@ def read_companies(spark: SparkSession, path: Paths) -> DataFrame:
     return _scan(spark, path, schema.COMPANIES, "csv")
 
 
-def read_series(spark: SparkSession, path: Paths, name: str, layout: str, sep: str = ",") -> DataFrame:
-    """One benchmark series (date text, value text) in long form; unreadable rows are left out.
+def read_series(spark: SparkSession, path: Paths, name: str, layout: str,
+                columns: tuple[str | int, str | int] = (1, 2), sep: str = ",") -> DataFrame:
+    """One benchmark series in long form, from the date and value columns given by heading or place.
 
-    That covers the footers of such files, so no row position is needed.
+    Rows without a readable date and value are left out. That covers the footers of such files, so
+    no row position is needed.
     """
-    kind = T.StructType([T.StructField("date", T.StringType()), T.StructField("price", T.StringType())])
-    rows = _scan(spark, path, kind, "csv", sep=sep, enforceSchema="true")
-    return rows.select(
-        parse_date(F.col("date"), layout).alias("date"), F.lit(name).alias("name"),
-        F.col("price").try_cast("double").alias("price"),
-    ).filter(F.col("date").isNotNull() & F.col("price").isNotNull())
+    sheet = spark.read.options(header="true", sep=sep, encoding="UTF-8").csv(path)
+    date, value = (F.col(f"`{c if isinstance(c, str) else sheet.columns[c - 1]}`") for c in columns)
+    rows = sheet.select(
+        parse_date(date, layout).alias("date"), F.lit(name).alias("name"), value.try_cast("double").alias("price"))
+    return rows.filter(F.col("date").isNotNull() & F.col("price").isNotNull())
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:

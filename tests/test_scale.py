@@ -68,7 +68,7 @@ def test_histogram_range_reuses_the_shuffle(spark):
 
 
 def test_unpartitioned_windows_see_one_row_per_date(spark):
-    for name in ("compare_risk_overall", "cleaning_funnel"):
+    for name in ("compare_risk_overall", "cleaning_funnel", "benchmark_wide"):
         lines = plan_of(CATALOG[name].run(spark, SF_DIR)).splitlines()
         single = [i for i, x in enumerate(lines) if "Exchange SinglePartition" in x]
         assert single and all("HashAggregate" in "".join(lines[i + 1:i + 3]) for i in single)

@@ -63,9 +63,10 @@ def test_unexpected_heading_is_refused(spark, tmp_path):
 @pytest.mark.parametrize("layout, text", [
     (dates.DAY_MONTH_YEAR, "31-01-2020"), (dates.YEAR_MONTH, "2020-01"), (dates.MONTH_YEAR, "01-2020")])
 def test_series_leave_out_footers(spark, tmp_path, layout, text):
-    path = write(tmp_path / "s.csv", "Tarih,Fiyat", f"{text},2.5", f"{text},", "Notlar:,", ",3.0")
+    path = write(tmp_path / "s.csv", "Tarih,Fiyat,TP.DK USD", f"{text},2.5,7", f"{text},,", "Notlar:,,", ",3.0,1")
     rows = files.read_series(spark, path, "b_usd", layout).collect()
     assert [(r.name, r.price, r.date.year, r.date.month) for r in rows] == [("b_usd", 2.5, 2020, 1)]
+    assert [r.price for r in files.read_series(spark, path, "b_usd", layout, ("Tarih", "TP.DK USD")).collect()] == [7.0]
 
 
 def crosstab_lines(years):
