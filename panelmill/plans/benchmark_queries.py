@@ -101,6 +101,9 @@ BY_COMPANY = compare.Comparison(
 BY_NAME = compare.Comparison(FIRST, LAST, ("name",), TYPES, benchmarks=("b_1", "b_2"))
 OVERALL = compare.Comparison(FIRST, LAST, (), REGIONS)
 
+# Growth reaches 1e8 on this data, where a double holds fewer decimal places than a deviation has.
+METRIC_DIGITS = {"growth_rate": 3, "stdev": 6}
+
 
 def _compare_sql(groups: tuple[str, ...], metric: str, where: str, gain: str = "monthly_price_change",
                  alias: str | None = None) -> str:
@@ -108,14 +111,16 @@ def _compare_sql(groups: tuple[str, ...], metric: str, where: str, gain: str = "
     lead = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys} " if keys else ""
     value = {"growth_rate": "product(gain + 1)", "stdev": "stddev_pop(gain)"}[metric]
+    digits = METRIC_DIGITS[metric]
     return with_views(f"""SELECT {lead}date, ROUND(gain, 6) AS avg_monthly_gain,
-  ROUND({value} OVER ({part}ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS {alias or metric}
+  ROUND({value} OVER ({part}ORDER BY date ROWS UNBOUNDED PRECEDING), {digits}) AS {alias or metric}
 FROM (SELECT {lead}date, avg({gain}) AS gain FROM returns
   WHERE date BETWEEN DATE '{FIRST}' AND DATE '{LAST}' AND {where} GROUP BY {lead}date)""", *_RETURNS_VIEWS)
 
 
 def _compare(spark: SparkSession, d: str, q: compare.Comparison, metric: str, alias: str | None = None) -> DataFrame:
-    return rounded(compare.compare(_returns(spark, d), q, metric, alias), "avg_monthly_gain", alias or metric)
+    result = rounded(compare.compare(_returns(spark, d), q, metric, alias), "avg_monthly_gain")
+    return rounded(result, alias or metric, digits=METRIC_DIGITS[metric])
 
 
 _ZEROED = "COALESCE(monthly_price_change, 0)"
