@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelmill.llm import minhash_dedup
+from panelmill.llm import decontaminate, line_dedup, minhash_dedup, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,26 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), minhash_dedup.NearDup(similarity=85))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.without_repeated_lines(docs, min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Query] = {
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
+}
+SQL: dict[str, str] = {
+    "op5_minhash_dedup": oracles.NEAR_DUPLICATES,
+    "op7_line_dedup": oracles.LINE_DEDUP,
+    "op8_decontaminate": oracles.CONTAMINATION,
 }
-SQL: dict[str, str] = {}
