@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import decontaminate, line_dedup, minhash_dedup, oracles
+from panelmill.llm import decontaminate, language_id, line_dedup, minhash_dedup, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "margin")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), minhash_dedup.NearDup(similarity=85))
 
@@ -34,6 +39,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
