@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import decontaminate, language_id, line_dedup, minhash_dedup, oracles
+from panelmill.llm import bpe, decontaminate, language_id, line_dedup, minhash_dedup, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; every executor has them."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,11 +44,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 SQL: dict[str, str] = {
     "op5_minhash_dedup": oracles.NEAR_DUPLICATES,
