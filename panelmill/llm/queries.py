@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import bpe, decontaminate, language_id, line_dedup, minhash_dedup, oracles
+from panelmill.llm import arrow_output, bpe, decontaminate, language_id, line_dedup, minhash_dedup, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), minhash_dedup.NearDup(similarity=85))
 
 
+def op6_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_output.encode_and_check(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.without_repeated_lines(docs, min_docs=10, min_chars=1)
@@ -51,6 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_arrow_output": op6_arrow_output,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
