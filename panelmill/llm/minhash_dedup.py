@@ -182,7 +182,8 @@ def set_links(members: DataFrame, texts: DataFrame, cfg: NearDup) -> DataFrame:
 
     ``members`` has family, node and n_shingles, ``texts`` node and text; the sets are made in the task.
     """
-    blocks = in_blocks(members, "family", "node", F.col("n_shingles"), cfg.block_shingles).join(texts, "node")
+    blocks = in_blocks(members, "family", "node", F.col("n_shingles"), cfg.block_shingles)
+    blocks = texts.join(blocks.hint("shuffle_hash"), "node")  # grows with the corpus: not to be broadcast
 
     def run(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, a, b = table.column("node").to_numpy(), [], []
@@ -228,23 +229,21 @@ def similar(sets: list[np.ndarray], percent: int):
 def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
-    Null, empty and blank texts have no shingles and link with nothing. Rows that share a doc_id are one
-    document with several texts: its links are those of all of them. A row without doc_id can't name a
-    component: it links with nothing, has a null component and is kept. Other columns are ignored.
+    Null, empty and blank texts have no shingles and link with nothing. Rows that share a doc_id are each judged
+    by their own text. A row without doc_id can't name a component: it links with nothing, has a null
+    component and is kept. Other columns are ignored.
     """
     sigs = stored(signatures(docs, cfg), "signatures")
-    named = sigs.filter("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = stored(classes, "classes")
+    classes = stored(
+        sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
     family = components(family_edges(classes, cfg)).withColumnsRenamed({"component": "family"})
     family = family.unionAll(family.select(F.col("family").alias("node"), "family").distinct())
     members = stored(classes.join(family, "node").select("family", "node", "n_shingles"), "members")
-    links = set_links(members, docs.select(F.col("doc_id").cast("long").alias("node"), "text"), cfg).unionAll(
-        named.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found = components(links)
-    return (
-        sigs.select("doc_id", "n_shingles")
-        .join(found.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-                F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("doc_id")), F.lit(True)).alias("kept")))
+    found = components(set_links(members, docs.select(F.col("doc_id").cast("long").alias("node"), "text"), cfg))
+    named = classes.select("h1", "h2", "node").join(found, "node", "left").select(
+        "h1", "h2", F.coalesce("component", "node").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return sigs.join(named, ["h1", "h2"], "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
