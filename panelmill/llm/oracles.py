@@ -61,3 +61,22 @@ found AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, component_id, doc.doc_id = component_id AS kept
 FROM doc LEFT JOIN size USING (doc_id) JOIN found ON found.node = doc.doc_id
 """
+
+VECTOR_DUPLICATES = """
+WITH RECURSIVE vec AS (
+  SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e FROM vec
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM vec
+  UNION
+  SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node),
+found AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM vec LEFT JOIN n ON a = vec_id JOIN found ON node = vec_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import arrow_output, bpe, decontaminate, language_id, line_dedup, minhash_dedup, oracles
+from panelmill.llm import arrow_output, bpe, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), minhash_dedup.NearDup(similarity=85))
 
@@ -54,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_arrow_output": op6_arrow_output,
     "op7_line_dedup": op7_line_dedup,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 SQL: dict[str, str] = {
+    "op3_embedding_dedup": oracles.VECTOR_DUPLICATES,
     "op5_minhash_dedup": oracles.NEAR_DUPLICATES,
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_decontaminate": oracles.CONTAMINATION,
