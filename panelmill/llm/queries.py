@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import arrow_output, bpe, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, oracles
+from panelmill.llm import arrow_output, bpe, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, oracles, pii_crf
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,22 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def _listed(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_crf.find(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", *(_count("base", kind) for kind in pii_crf.BASE_KINDS),
+        F.sha2(F.encode(_listed("base"), "UTF-8"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), minhash_dedup.NearDup(similarity=85))
 
@@ -59,6 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_pii_crf": op4_pii_crf,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_arrow_output": op6_arrow_output,
     "op7_line_dedup": op7_line_dedup,
