@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import arrow_output, bpe, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, oracles, pii_crf
+from panelmill.llm import arrow_output, bpe, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, oracles, pii_crf, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", *(_count("base", kind) for kind in secret_scan.BASE_KINDS),
+        F.sha2(F.encode(_listed("base"), "UTF-8"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op6_arrow_output": op6_arrow_output,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
 SQL: dict[str, str] = {
