@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import arrow_output, bpe, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, oracles, pii_crf, secret_scan
+from panelmill.llm import arrow_output, bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, oracles, pii_crf, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(_table(spark, sf_dir, "documents"))
+    each = F.transform("notices", lambda n: F.concat_ws(
+        ":", n["license"], n["start"].cast("string"), n["end"].cast("string"), F.round(n["coverage"], 4).cast("string")))
+    best = F.coalesce(F.array_max(F.transform("notices", lambda n: n["coverage"])), F.lit(0.0))
+    return out.select(
+        "doc_id", F.size("notices").cast("long").alias("n_notices"), best.alias("coverage"), F.array_join(each, ",").alias("notices"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "lang_pred", "score", "margin")
@@ -80,6 +89,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii_crf": op4_pii_crf,
