@@ -3,20 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelmill.llm import minhash_dedup
+from panelmill.llm import bpe, decontaminate, language_id, line_dedup, minhash_dedup
+from panelmill.llm.queries import tokenizer_file
 from panelmill.llm.scratch import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    marks = minhash_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"]), "left_semi").select(*COLUMNS)
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those far from every learned language, go."""
+    return language_id.in_known_language(docs.select(*COLUMNS))
 
 
-STAGES = [("near_dedup", near_dedup)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go from every document; n_chars follows the text."""
+    kept = line_dedup.without_repeated_lines(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, 0.8), the document with the smallest doc_id stays."""
+    return minhash_dedup.one_of_each(docs.select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which passages of benchmark items are a twentieth or more go."""
+    return decontaminate.without_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the checksums of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.tiktoken"), with_ids=True)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("byte_bpe", tokens),
+]
 ORACLE_SQL = None
 
 

@@ -148,19 +148,26 @@ def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, rank_file: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded, in one pass."""
+def round_trip(docs: DataFrame, rank_file: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded, in one pass; ids on request."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = _replay(rank_file)
         encoder = PieceEncoder(replay)
         for batch in batches:
-            size, one, two = [], [], []
-            for ids in encoder(batch.column("text").fill_null("").to_pylist()):
-                size.append(len(ids))
-                one.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                two.append(hashlib.sha256(decode(ids, replay.tokens)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            size, one, two, ids = [], [], [], []
+            for own in encoder(batch.column("text").fill_null("").to_pylist()):
+                size.append(len(own))
+                one.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                two.append(hashlib.sha256(decode(own, replay.tokens)).hexdigest())
+                ids += [own] * with_ids
+            columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                flat = np.concatenate(ids) if ids else np.zeros(0)
+                places = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(places, pa.array(flat.astype(np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

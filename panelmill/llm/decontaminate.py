@@ -92,7 +92,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13, anchors:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, per_hit: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted), contaminated for each row of ``docs``.
+    """doc_id, tid (a hash of the text), n_words, n_hit, items (sorted), contaminated for each row of ``docs``.
 
     A word is hit inside any occurrence of a window; a document with hits is contaminated when
     ``per_hit * n_hit >= n_words``. Without documents the result is empty, without items nothing is hit.
@@ -109,11 +109,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, per_hit:
     n_hit = F.coalesce("n", F.lit(0)).cast("long")
     return (
         rows.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left")
-        .select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+        .select(*DOC, F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
                 F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                 ((n_hit > 0) & (per_hit * n_hit >= F.col("n_words"))).alias("contaminated")))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, per_hit: int = 20) -> DataFrame:
+    """Rows of ``docs`` that aren't contaminated, columns as they are."""
+    bad = contamination(docs, items, window, per_hit).filter("contaminated").select(
+        F.col("doc_id").alias("_dc_doc"), F.col("tid").alias("_dc_tid")).hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_dc_doc")) & (text_id(F.col("text")) == F.col("_dc_tid"))
+    return docs.join(bad, same, "left_anti")
+
+
 def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int = 0) -> DataFrame:
     """doc_id, tid, query_id, start, end: spans of at most (distinct words of the query + slop) words that hold
     all of them in any order; each span begins with one of them.

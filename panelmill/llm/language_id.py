@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNDETERMINED = "und"
 SEGMENT = 1 << 21
@@ -127,6 +128,14 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     A null or empty text and one without letters is ``und`` with score 0; so is every text when there are
     no profiles. Languages at the same distance go by name. Only the text is looked at, the whole of it.
     """
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), profiles, ["doc_id"])
+
+
+def annotate(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred, score and margin, which replace columns of these names."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "margin")]
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, margins = [], [], []
@@ -142,13 +151,23 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 scores.append(score)
                 margins.append(margin)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
-                ["doc_id", "lang_pred", "score", "margin"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, lang_pred string, score double, margin double")
+                [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
+                [*keep, "lang_pred", "score", "margin"])
+    schema = T.StructType([f for f in docs.select(*keep).schema]).add("lang_pred", "string").add("score", "double").add("margin", "double")
+    return rows.mapInArrow(run, schema)
+
+
+def learned(docs: DataFrame, size: int = 300, per_language: int = 3000) -> Profiles:
+    """Profiles from the documents of ``docs`` that aren't held out."""
+    return fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), size, per_language)
 
 
 def identify(docs: DataFrame, size: int = 300, per_language: int = 3000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, margin, learned from the documents of ``docs`` that aren't held out."""
-    profiles = fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), size, per_language)
-    return predict(docs, profiles).withColumn("held_out", held_out(F.col("doc_id")))
+    """doc_id, held_out, lang_pred, score, margin for each row of ``docs``."""
+    return predict(docs, learned(docs, size, per_language)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def in_known_language(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
+    """Rows of ``docs`` (columns as they are) in a language that was learned: not ``und``, and no farther than allowed."""
+    marked = annotate(docs, learned(docs), docs.columns)
+    return marked.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*docs.columns)

@@ -247,3 +247,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     return sigs.join(named, ["h1", "h2"], "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
+    """Rows of ``docs`` (columns as they are) but for near-duplicates of a document with a smaller doc_id."""
+    gone = near_duplicates(docs, cfg).filter("not kept").select(F.col("doc_id").alias("_nd_doc")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_nd_doc"), "left_anti")
