@@ -36,10 +36,15 @@ def line_keys(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs of (h1, h2, n): in how many documents each key was seen. A document is in one batch only."""
+    """Levelled runs of (h1, h2, n): in how many documents each key was seen. A document is in one batch only.
 
-    def __init__(self, spark: SparkSession, min_docs: int, buckets: int = 32, fanout: int = 2):
-        self.spark, self.min_docs, self.buckets, self.fanout = spark, min_docs, buckets, fanout
+    A run has as many buckets as the session has shuffle partitions, so that the task that counts a bucket's
+    keys also writes its one file.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
     def add(self, keys: DataFrame) -> None:
@@ -70,7 +75,7 @@ class LineRuns:
     def _run(self, counts: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         (
-            counts.repartition(self.buckets, *HASH).write.option("path", new_path(self.spark, name))
+            counts.write.option("path", new_path(self.spark, name))
             .bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         )
         return self.spark.table(name)
