@@ -29,9 +29,12 @@ def item_table(items: DataFrame, window: int) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, tid, term, pos: one row for each occurrence of a word of ``terms``, counted from 1.
 
-    The empty term has one row for each input row, with the number of its words as pos.
+    The empty term has one row for each input row, with the number of its words as pos. The terms are written
+    first: then Spark knows their size when it plans the join, and broadcasts them below its threshold instead of
+    shuffling all words.
     """
-    known = terms.select("term").unionAll(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    empty = terms.sparkSession.range(1).select(F.lit("").alias("term"))
+    known = stored(terms.select("term").unionAll(empty).distinct().coalesce(1), "terms")
     texts = docs.select("doc_id", text_id(F.col("text")).alias("tid"), raw_words(F.col("text")).alias("w"))
     every = texts.select(*DOC, F.size("w").alias("n"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "word"))
     return every.select(*DOC, lower_ascii(F.col("word")).alias("term"), F.when(F.col("pos") == 0, F.col("n")).otherwise(F.col("pos")).alias("pos")).join(known, "term")
@@ -52,8 +55,8 @@ def rarest(items: DataFrame, index: DataFrame, anchors: int) -> DataFrame:
 def candidates(items: DataFrame, index: DataFrame, anchors: int) -> DataFrame:
     """doc_id, tid, item, shift: where the shifted lists of some window's rarest words meet."""
     chosen = stored(rarest(items, index, anchors), "anchors")
-    places = chosen.select("item", F.explode("by").alias("x")).select("item", "x.term", "x.p").distinct()
-    needed = chosen.groupBy("item").agg(F.collect_set(F.transform("by", lambda x: x["p"])).alias("needed"))
+    places = stored(chosen.select("item", F.explode("by").alias("x")).select("item", "x.term", "x.p").distinct(), "places")
+    needed = stored(chosen.groupBy("item").agg(F.collect_set(F.transform("by", lambda x: x["p"])).alias("needed")), "needed")
     met = (
         index.filter("term <> ''").join(places, "term")
         .groupBy(*DOC, "item", (F.col("pos") - 1 - F.col("p")).alias("shift")).agg(F.collect_set("p").alias("found")))
