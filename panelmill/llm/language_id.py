@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelmill.llm.scratch import stored
+
 UNDETERMINED = "und"
 SEGMENT = 1 << 21
 
@@ -82,6 +84,7 @@ def fit(labelled: DataFrame, size: int = 300, per_language: int = 3000, max_lang
     """
     known = labelled.filter("lang is not null and text is not null")
     share = known.groupBy(F.col("lang").alias("l")).agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    share = stored(share, "languages")  # of known size when the join is planned, which then shuffles no texts
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = known.join(share, F.col("lang") == F.col("l")).filter(part < F.col("share")).select("lang", "text")
 
