@@ -180,39 +180,42 @@ def write_sequences(docs: DataFrame, tokenizer_file: str, folder: str, layout: L
         run, "doc_id long, shard int, file string, first long, n_tokens long"), "sequence-index")
 
 
-def with_starts(index: DataFrame) -> DataFrame:
+def with_starts(index: DataFrame, sizes: DataFrame) -> DataFrame:
     """The index with ``start``: how many ids all documents before have. The running sum is over files, not rows."""
-    files = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    files = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     base = files.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
     return index.join(base, "shard").withColumn("start", F.col("base") + F.col("first")).drop("base")
 
 
+def _ranges(batch: pa.RecordBatch, folder: str, layout: Layout) -> Iterator[np.ndarray]:
+    """The ids of each row of an index batch, from files that are opened one after the other."""
+    name, file = None, None
+    for which, first, n in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "n_tokens"))):
+        if which != name:
+            name, file = which, SequenceFile(folder, which, layout)
+        yield file.ids(first, n).astype("<u4")
+
+
 def read_documents(index: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
-    """The index's rows with ids (binary, little-endian unsigned 32-bit) read from the files."""
+    """doc_id, ids (binary, little-endian unsigned 32-bit) of the index's rows, read from the files."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, file = None, None
         for batch in batches:
-            out = []
-            for which, first, n in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "n_tokens"))):
-                if which != name:
-                    name, file = which, SequenceFile(folder, which, layout)
-                out.append(file.ids(first, n).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "ids"])
-    kept = index.select("doc_id", "shard", "file", "first", "n_tokens")
-    return kept.mapInArrow(run, "doc_id long, shard int, file string, first long, n_tokens long, ids binary")
+            ids = pa.array([x.tobytes() for x in _ranges(batch, folder, layout)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+    return index.select("doc_id", "file", "first", "n_tokens").mapInArrow(run, "doc_id long, ids binary")
 
 
 def read_checksums(index: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers, read from the files)."""
+    names = ["doc_id", "shard", "first", "n_tokens"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "shard", "first", "n_tokens")), pa.array(sums, pa.int64())],
-                ["doc_id", "shard", "first", "n_tokens", "ids_crc32"])
-    sums = read_documents(index, folder, layout).mapInArrow(run, "doc_id long, shard int, first long, n_tokens long, ids_crc32 long")
-    return with_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
+            sums = [zlib.crc32(x) for x in _ranges(batch, folder, layout)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sums, pa.int64())], [*names, "ids_crc32"])
+    sums = index.select(*names, "file").mapInArrow(run, "doc_id long, shard int, first long, n_tokens long, ids_crc32 long")
+    return with_starts(sums, index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def encode_and_check(docs: DataFrame, tokenizer_file: str, layout: Layout = Layout(), folder: str | None = None) -> DataFrame:
