@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions.dates import day
 from panelmill.functions.windows import indexed, previous, sequence_number
+from panelmill.operators.guards import require
 
 IDENTITY = ("fund_type", "category", "company_name", "company_code", "name", "code")
 # Benchmarks compared with, and the class labels.
@@ -17,7 +18,7 @@ EXCELLENT, LOSS, BEHIND = "excellent profit", "loss", "profit but less than usd"
 
 
 def first_dates(panel: DataFrame) -> DataFrame:
-    """Earliest date per code."""
+    """Earliest date per code; of a cohort's rows, it checks that they all begin where the cohort does."""
     return panel.groupBy("code").agg(F.min("date").alias("earliest"))
 
 
@@ -72,6 +73,9 @@ def best_k(performance: DataFrame, k: int = 50, skip: int = 0,
     return (ranked.offset(skip) if skip else ranked).limit(k)
 
 
-def series_of(index: DataFrame, best: DataFrame) -> DataFrame:
-    """Whole index series of the ranked codes. A ranking is limited to k rows, so it is broadcast."""
-    return index.join(F.broadcast(best.select("code").distinct()), "code", "left_semi")
+def series_of(index: DataFrame, best: DataFrame, most: int = 1000) -> DataFrame:
+    """Whole index series of the ranked codes. More than ``most`` codes are an error, so they can be broadcast."""
+    codes = best.select("code").distinct().limit(most + 1)
+    counted = codes.withColumn("_codes", F.count(F.lit(1)).over(Window.partitionBy()))
+    checked = require(counted, F.col("_codes") <= most, F.lit(f"more than {most} codes to broadcast"))
+    return index.join(F.broadcast(checked.select("code")), "code", "left_semi")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions.text import latin_ascii, matches, prefix
 from panelmill.operators.flags import name_starts
+from panelmill.operators.guards import single
 
 # Merged companies, the code they go under, and the length of the matching prefix.
 DROPPED_CODES = ("ZEM", "VEM")
@@ -73,22 +74,18 @@ def conform_companies(companies: DataFrame, panel: DataFrame, length: int = PREF
 def attach_company(panel: DataFrame, conformed: DataFrame, length: int = PREFIX_LENGTH) -> DataFrame:
     """Panel with ASCII names and the company of each name's prefix.
 
-    The row count cannot change: a name that matches two companies is an error.
+    The row count cannot change: there is one row per prefix to join, and a name that matches two
+    companies is an error whichever columns are read.
     """
-    companies = F.count(F.lit(1)).over(Window.partitionBy("name_start")).alias("_companies")
     # A few companies hold most names. Taking the prefix anew puts a shuffle between the check and the
     # join; only then can the join be split at run time where the companies are too many to broadcast.
-    dim = conformed.filter(F.col("name_start").isNotNull()).select(
-        "name_start", "company_name", "company_code", companies,
+    company = F.min(F.struct("company_name", "company_code"))
+    dim = conformed.filter(F.col("name_start").isNotNull()).groupBy("name_start").agg(
+        company.alias("_company"), F.count(F.lit(1)).alias("_companies"),
     ).withColumn("name_start", prefix(F.col("name_start"), length))
     renamed = panel.withColumn("name", latin_ascii(F.col("name")))
-    failure = F.raise_error(F.concat(F.lit("two companies share the prefix "), F.col("name_start")))
-    return (
-        renamed.withColumn("name_start", prefix(F.col("name"), length))
-        .join(dim, "name_start", "left")
-        .withColumn("company_code", F.when(F.col("_companies") > 1, failure).otherwise(F.col("company_code")))
-        .select(*renamed.columns, "company_name", "company_code")
-    )
+    joined = renamed.withColumn("name_start", prefix(F.col("name"), length)).join(dim, "name_start", "left")
+    return single(joined, "_companies", "company", "name_start").select(*renamed.columns, "_company.company_name", "_company.company_code")
 
 
 def without_company(panel: DataFrame) -> DataFrame:

@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame
+from panelmill.operators.guards import single
 
 KEYS = ("date", "code", "fund_type")
 
 
+def _keyed(rows: DataFrame, side: str, what: str) -> tuple[DataFrame, list[str]]:
+    """Rows with their join key; more than one row of a key is an error.
+
+    A key column joins as its value and whether it is missing, so that missing equals missing. The count
+    is taken over the columns that are joined on, so it needs no shuffle or sort of its own.
+    """
+    filled = {"date": F.lit("0001-01-01").cast("date"), "code": F.lit(""), "fund_type": F.lit("")}
+    values = {f"_{k}": F.coalesce(F.col(k), filled[k]) for k in KEYS} | {f"_no_{k}": F.col(k).isNull() for k in KEYS}
+    counted = rows.withColumns(values).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*values)))
+    return single(counted, "_rows", what, *KEYS).alias(side), list(values)
+
+
 def consolidate_daily(prices: DataFrame, allocations: DataFrame, categories: DataFrame) -> DataFrame:
     """Full outer join of both row sets on date, code and type, then the category of each code.
 
-    A missing key equals a missing key. The keys are unique on both sides. ``categories`` holds one
-    row per code; whether it is broadcast is left to the size Spark measures.
+    A missing key equals a missing key. A key that occurs twice on a side is an error, and so is a code
+    with two rows in ``categories``; whether that is broadcast is left to the size Spark measures.
     """
     measures = [c for c in prices.columns if c not in (*KEYS, "name")]
     shares_of = [c for c in allocations.columns if c.startswith("p_")]
-    left, right = prices.alias("l"), allocations.select(*KEYS, *shares_of).alias("r")
-    same = reduce(lambda a, b: a & b, [left[f"l.{k}"].eqNullSafe(right[f"r.{k}"]) for k in KEYS])
-    joined = left.join(right, same, "full_outer").selectExpr(
+    left, on = _keyed(prices, "l", "price row")
+    right, _ = _keyed(allocations.select(*KEYS, *shares_of), "r", "allocation row")
+    joined = left.join(right, on, "full_outer").selectExpr(
         *[f"coalesce(l.{k}, r.{k}) AS {k}" for k in KEYS], "l.name",
         *[f"l.{c}" for c in measures], *[f"r.`{c}`" for c in shares_of],
     )
-    known = categories.withColumnRenamed("code", "_code")
+    known = single(
+        categories.groupBy(F.col("code").alias("_code")).agg(F.min("category").alias("category"), F.count(F.lit(1)).alias("_rows")),
+        "_rows", "category", "_code")
     return joined.join(known, joined["code"].eqNullSafe(known["_code"]), "left").select(
         "date", "code", "fund_type", "category", "name", *measures, *shares_of)

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelmill.functions.dates import day, month_start
+from panelmill.operators.guards import single
 
 DROPPED_PREFIX = "p_"
-FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)
 
 
 def in_months(panel: DataFrame, *months: str) -> DataFrame:
@@ -25,18 +24,15 @@ def in_months(panel: DataFrame, *months: str) -> DataFrame:
 def monthly_close(panel: DataFrame) -> DataFrame:
     """Every column as of the entity's last row of the month, dated the first of the month.
 
-    Each task sends one row per code and month to the shuffle. With numbers only, that is a hash
-    aggregation. A text column in the buffer would turn it into a sort with one date comparison per
-    column, so then rows are ranked instead, which reduces them on both sides of the shuffle too.
+    Ranking reduces rows on both sides of the shuffle: each task sends the last row of a code and month.
+    Rows without a date close no month. Two rows on a closing date are an error.
     """
     kept = [c for c in panel.columns if c not in ("code", "date") and not c.startswith(DROPPED_PREFIX)]
-    dated = panel.select("code", "date", *kept, month_start(F.col("date")).alias("month_date"))
-    if all(isinstance(dated.schema[c].dataType, FIXED_WIDTH) for c in kept):
-        closed = dated.groupBy("code", "month_date").agg(
-            F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in kept])
-    else:
-        latest = Window.partitionBy("code", "month_date").orderBy(F.desc_nulls_last("date"))
-        closed = dated.withColumn("rank", F.row_number().over(latest)).filter("rank = 1")
+    dated = panel.filter(F.col("date").isNotNull()).select(
+        "code", "date", *kept, month_start(F.col("date")).alias("month_date"))
+    month = Window.partitionBy("code", "month_date")
+    last = dated.withColumn("rank", F.rank().over(month.orderBy(F.desc("date")))).filter("rank = 1")
+    closed = single(last.withColumn("_rows", F.count(F.lit(1)).over(month)), "_rows", "row on a closing date", "code", "date")
     return closed.select(
         "code", F.year("month_date").alias("year"), F.month("month_date").alias("month"),
         F.col("date").alias("data_date"), *kept, F.col("month_date").alias("date"))

@@ -6,21 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelmill.functions.dates import span_days
+from panelmill.functions.text import prefix
 
 EXCLUDED_CODES = ("FPR",)  # fixed value: the one entry without a category
+ANY_LENGTH = 2**31 - 1
 RULES = ("excluded_code", "missing_name", "no_price_or_shares", "inactive")
 
 
+def missing(name: str, kind: T.DataType) -> Column:
+    """True where the column is missing; in a column of floating numbers NaN is missing too."""
+    test = F.col(name).isNull()
+    return test | F.isnan(name) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else test
+
+
 def zero_or_missing(*columns: str) -> Column:
-    """True where any of the columns is zero or missing."""
+    """True where any of the measures is zero or missing, NaN included."""
     test = F.lit(False)
     for name in columns:
-        test = test | F.col(name).isNull() | (F.col(name) == 0)
+        test = test | F.col(name).isNull() | (F.col(name) == 0) | F.isnan(F.col(name).cast("double"))
     return test
 
 
+def positive(name: str) -> Column:
+    """True for a measure above zero. NaN, which Spark orders above all numbers, is not."""
+    return F.coalesce((F.col(name) > 0) & ~F.isnan(F.col(name).cast("double")), F.lit(False))
+
+
 def dq_profile(df: DataFrame, columns: Sequence[str] = ("code", "name", "price", "shares", "date", "category"),
                ) -> DataFrame:
     """One row: rows, codes, missing values per column, zero or missing measures, codes with two names.
@@ -29,7 +43,7 @@ def dq_profile(df: DataFrame, columns: Sequence[str] = ("code", "name", "price",
     """
     per_name = df.groupBy("code", "name").agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns],
+        *[F.count_if(missing(c, df.schema[c].dataType)).alias(f"null_{c}") for c in columns],
         F.count_if(zero_or_missing("price", "shares")).alias("zero_or_missing"),
     )
     counts = ["rows", *[f"null_{c}" for c in columns], "zero_or_missing"]
@@ -59,12 +73,12 @@ def names_per_code(df: DataFrame) -> DataFrame:
 def first_failed_rule(excluded: Sequence[str]) -> Column:
     """Name of the first rule a row fails on its own; NULL if it passes all of them.
 
-    A missing code, price or share count fails like an excluded one.
+    A missing code, price or share count fails like an excluded one; NaN is missing.
     """
     return (
         F.when(F.col("code").isNull() | F.col("code").isin(*excluded), RULES[0])
         .when(F.col("name").isNull(), RULES[1])
-        .when(~F.coalesce((F.col("price") > 0) & (F.col("shares") > 0), F.lit(False)), RULES[2])
+        .when(~(positive("price") & positive("shares")), RULES[2])
     )
 
 
@@ -72,18 +86,15 @@ def _passing(df: DataFrame, excluded: Sequence[str]) -> DataFrame:
     return df.filter(first_failed_rule(excluded).isNull())
 
 
-def on_latest_date(df: DataFrame) -> DataFrame:
-    """Rows of the table's own latest date."""
-    return df.filter(F.col("date") == df.agg(F.max("date")).scalar())
-
-
 def active_codes(df: DataFrame) -> DataFrame:
-    """Codes with a row on the latest date, for a semi or anti join, which takes repeated codes.
+    """Codes with a row on the latest date, one row each, from one pass over the table.
 
-    There is no distinct on purpose: a skewed join is split at run time only if both its inputs come
-    straight from a shuffle, and one code may hold most rows of the other side.
+    The code is taken anew, which puts a shuffle between the aggregation and a join: a skewed join is split
+    at run time only if both its inputs come straight from a shuffle, and one code may hold most rows.
     """
-    return on_latest_date(df).select("code")
+    latest = df.groupBy("code").agg(F.max("date").alias("_latest"))
+    newest = latest.agg(F.max("_latest")).scalar()
+    return latest.filter(F.col("_latest") == newest).select(prefix(F.col("code"), ANY_LENGTH).alias("code"))
 
 
 def clean_panel(df: DataFrame, excluded: Sequence[str] = EXCLUDED_CODES) -> DataFrame:

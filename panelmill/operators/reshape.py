@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.guards import require
+
 
 def spread(df: DataFrame, keys: Sequence[str], names: str, values: str, columns: Sequence[str],
            combine=F.max) -> DataFrame:
     """One row per key with one column per listed name.
 
-    The names are given, so it is a single aggregation with a map-side combine.
+    The names are given, so it is a single aggregation with a map-side combine. A name that isn't listed
+    is an error; a row without a name only makes sure that its key is there.
     """
+    known = F.col(names).isNull() | F.col(names).isin(*columns)
+    df = require(df, known, F.concat(F.lit(f"unknown {names}: "), F.col(names).cast("string")))
     cells = [combine(F.when(F.col(names) == c, F.col(values))).alias(c) for c in columns]
     return df.groupBy(*keys).agg(*cells)
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions.dates import day
 from panelmill.functions.numeric import log10_positive, percent_change, simple_return
 from panelmill.functions.windows import previous
+from panelmill.operators.guards import single
 from panelmill.schema import ENTITY
 
 
@@ -19,13 +20,12 @@ def daily_change_stats(panel: DataFrame, start: str, grace_days: int = 3,
     """Mean and sample deviation of daily returns from ``start`` on, per entity.
 
     The first return of the period looks back to the last row before it. Of the older history only
-    that one row per entity is needed, so it is reduced on the map side and never sorted or shuffled
-    whole. Entities that begin more than ``grace_days`` after ``start`` are left out.
+    that one row per entity is needed, so it is reduced on the map side and never shuffled whole; two
+    rows on its date are an error like any other repeated date. Entities that begin more than ``grace_days`` after ``start`` are left out.
     """
     begin = day(start)
     rows = panel.select(*by, "date", "price")
-    last_before = rows.filter(F.col("date") < begin).groupBy(*by).agg(
-        F.max("date").alias("date"), F.max_by("price", "date").alias("price"))
+    last_before = last_rows(rows.filter(F.col("date") < begin), by)
     series = rows.filter(F.col("date") >= begin).unionByName(last_before)
     change = simple_return(F.col("price"), previous(F.col("price"), by))
     return (
@@ -41,6 +41,14 @@ def daily_change_stats(panel: DataFrame, start: str, grace_days: int = 3,
     )
 
 
+def last_rows(rows: DataFrame, by: Sequence[str], order: str = "date") -> DataFrame:
+    """Each entity's row on its last date; two rows on it are an error."""
+    entity = Window.partitionBy(*by)
+    last = rows.withColumn("_rank", F.rank().over(entity.orderBy(F.desc_nulls_last(order)))).filter("_rank = 1")
+    counted = last.withColumn("_rows", F.count(F.lit(1)).over(entity))
+    return single(counted, "_rows", f"duplicate of the last {order}", *by, order).drop("_rank")
+
+
 def annual_change(panel: DataFrame, first: str, last: str, by: Sequence[str] = ENTITY) -> DataFrame:
     """Return between two anchor dates, for entities that have a price on both."""
     anchors = panel.filter(F.col("date").isin(day(first), day(last)))
@@ -85,8 +93,19 @@ def subset(df: DataFrame, **values: Any) -> DataFrame:
     return df
 
 
-def monthly_returns(panel: DataFrame) -> DataFrame:
-    """Adds the change of the closing price on the entity's month before."""
+def monthly_returns(panel: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Adds the change of the closing price on the entity's month before, for months from ``start`` to ``end``.
+
+    Both bounds are below the window: later months aren't read, and of the earlier ones only each entity's
+    last close is kept, to which the first return of the period looks back.
+    """
+    if end is not None:
+        panel = panel.filter(F.col("date") <= day(end))
+    if start is not None:
+        begin = day(start)
+        before = last_rows(panel.filter(F.col("date") < begin), ["code"])
+        panel = panel.filter(F.col("date") >= begin).unionByName(before)
+        return monthly_returns(panel).filter(F.col("date") >= begin)
     return panel.withColumn("monthly_price_change", simple_return(F.col("price"), previous(F.col("price"), ["code"])))
 
 

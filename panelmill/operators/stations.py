@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from panelmill.functions.dates import parse_timestamp
 from panelmill.functions.numeric import equal_width_label
+from panelmill.operators.guards import require
 from panelmill.schema import STATION_FIELDS
 
 SIZES = ("small", "medium", "large")
@@ -34,11 +35,31 @@ REPORT = {
 
 def station_rows(documents: DataFrame, column: str = "value", root: str = "dataList",
                  fields: Sequence[str] = STATION_FIELDS) -> DataFrame:
-    """One row of text fields per station of each JSON document, named in document order."""
+    """One row of text fields per station of each JSON document, named in document order.
+
+    A document that cannot be read, or has no list under ``root``, is an error; ``unreadable_documents``
+    finds them. An empty list has no stations.
+    """
+    read = documents.select(F.col(column).alias("_text"), _listed(column, root, fields).alias("_stations"))
+    sound = require(read, F.col("_stations").isNotNull(), F.concat(
+        F.lit(f"no list {root!r} in the document: "), F.coalesce(F.substring("_text", 1, 200), F.lit("NULL"))))
+    return sound.select(F.explode("_stations").alias("station")).select("station.*").toDF(*STATION_FIELDS)
+
+
+def unreadable_documents(documents: DataFrame, column: str = "value", root: str = "dataList",
+                         fields: Sequence[str] = STATION_FIELDS) -> DataFrame:
+    """Documents without a readable list of stations."""
+    return documents.filter(_listed(column, root, fields).isNull())
+
+
+def readable_documents(documents: DataFrame, column: str = "value", root: str = "dataList",
+                       fields: Sequence[str] = STATION_FIELDS) -> DataFrame:
+    return documents.filter(_listed(column, root, fields).isNotNull())
+
+
+def _listed(column: str, root: str, fields: Sequence[str]) -> Column:
     record = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    document = T.StructType([T.StructField(root, T.ArrayType(record))])
-    listed = documents.select(F.explode(F.from_json(F.col(column), document)[root]).alias("station"))
-    return listed.select("station.*").toDF(*STATION_FIELDS)
+    return F.from_json(F.col(column), T.StructType([T.StructField(root, T.ArrayType(record))]))[root]
 
 
 def typed_stations(rows: DataFrame) -> DataFrame:

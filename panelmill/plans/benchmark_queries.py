@@ -9,7 +9,8 @@ from panelmill.operators import benchmark, cohort, compare, monthly
 from panelmill.operators.returns import monthly_returns
 from panelmill.plans.common import Entry, rounded, with_views
 from panelmill.plans.views import (
-    BENCHMARK_MONTHS_SQL, FUND_MONTHLY_SQL, SERIES, benchmark_daily, benchmark_months, fund_daily, fund_monthly, table,
+    BENCHMARK_MONTHS_SQL, FUND_MONTHLY_SQL, SERIES, benchmark_daily, benchmark_months, fund_daily, fund_monthly, fund_monthly_between,
+    table,
 )
 from panelmill.sources.crosstab import crosstab_series
 
@@ -51,6 +52,13 @@ def _returns(spark: SparkSession, d: str) -> DataFrame:
     return monthly_returns(_union(spark, d))
 
 
+def _returns_between(spark: SparkSession, d: str, start: str, end: str) -> DataFrame:
+    """The returns of some months, from lines of these months and each code's last day before them."""
+    panel = fund_monthly_between(spark, d, start, end)
+    series = benchmark.benchmark_long(_wide(spark, d), SERIES)
+    return monthly_returns(benchmark.panel_with_benchmarks(panel, series), start, end)
+
+
 _SERIES_SQL = ", ".join(SERIES)
 _WIDE_VIEWS = (BENCHMARK_MONTHS_SQL, f"""pivoted AS (
   SELECT date, {", ".join(f"max(CASE WHEN name = '{n}' THEN price END) AS {n}" for n in SERIES)}
@@ -93,12 +101,15 @@ _RETURNS_VIEWS = (*_UNION_VIEWS, _RETURNS_VIEW)
 _BEST = "fund_type, category, company_code, code, price_indexed"
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+FUNDS = ("Supplier#000000001", "Supplier#000000002", "Supplier#000000005")
 TYPES = (*REGIONS, benchmark.LABEL)
 BY_TYPE = compare.Comparison(FIRST, LAST, ("fund_type",), TYPES, missing="drop")
 BY_COMPANY = compare.Comparison(
     FIRST, LAST, ("company_name", "contribution"), ("ASIA", "EUROPE", benchmark.LABEL), contribution=(True,),
     categories=("NATION_2", "NATION_3", "NATION_7", "NATION_8", benchmark.LABEL))
 BY_NAME = compare.Comparison(FIRST, LAST, ("name",), TYPES, benchmarks=("b_1", "b_2"))
+BY_COMPANY_LIST = compare.Comparison(FIRST, LAST, ("company_name", "fund_type"), TYPES, companies=("CO_1", "CO_4"))
+BY_FUND = compare.Comparison(FIRST, LAST, ("name",), TYPES, funds=FUNDS)
 OVERALL = compare.Comparison(FIRST, LAST, (), REGIONS)
 
 # Growth reaches 1e8 on this data, where a double holds fewer decimal places than a deviation has.
@@ -119,7 +130,8 @@ FROM (SELECT {lead}date, avg({gain}) AS gain FROM returns
 
 
 def _compare(spark: SparkSession, d: str, q: compare.Comparison, metric: str, alias: str | None = None) -> DataFrame:
-    result = rounded(compare.compare(_returns(spark, d), q, metric, alias), "avg_monthly_gain")
+    returns = _returns_between(spark, d, q.start, q.end)
+    result = rounded(compare.compare(returns, q, metric, alias), "avg_monthly_gain")
     return rounded(result, alias or metric, digits=METRIC_DIGITS[metric])
 
 
@@ -179,9 +191,11 @@ QUERIES = {
     "panel_join_benchmark": Entry(
         _joined, with_views("SELECT * FROM joined", FUND_MONTHLY_SQL, *_WIDE_VIEWS, _JOINED_VIEW)),
     "cohort_first_dates": Entry(
-        lambda s, d: cohort.first_dates(_joined(s, d)),
-        with_views("SELECT code, min(date) AS earliest FROM joined GROUP BY code",
-                   FUND_MONTHLY_SQL, *_WIDE_VIEWS, _JOINED_VIEW)),
+        lambda s, d: cohort.first_dates(_index(s, d)),
+        with_views(f"""SELECT code, min(date) FILTER (date > DATE '{AFTER}') AS earliest FROM dated GROUP BY code
+          HAVING min(date) < DATE '{SEEN_BEFORE}' AND max(date) > DATE '{AFTER}'""",
+                   FUND_MONTHLY_SQL, *_WIDE_VIEWS, _JOINED_VIEW,
+                   "dated AS (SELECT code, make_date(year, month, 1) AS date FROM joined)")),
     "cohort_index": Entry(
         lambda s, d: _index(s, d).withColumn("counter", F.col("counter").cast("bigint")),
         with_views("SELECT * FROM indexed", *_COHORT_VIEWS)),
@@ -224,6 +238,12 @@ QUERIES = {
     "compare_risk_overall": Entry(
         lambda s, d: _compare(s, d, OVERALL, "stdev"),
         _compare_sql((), "stdev", "fund_type <> 'benchmark'", _ZEROED)),
+    "compare_companies": Entry(
+        lambda s, d: _compare(s, d, BY_COMPANY_LIST, "growth_rate"),
+        _compare_sql(("company_name", "fund_type"), "growth_rate", "company_name IN ('CO_1', 'CO_4')", _ZEROED)),
+    "compare_funds": Entry(
+        lambda s, d: _compare(s, d, BY_FUND, "stdev"),
+        _compare_sql(("name",), "stdev", "name IN (SELECT s_name FROM supplier WHERE s_suppkey IN (1, 2, 5))", _ZEROED)),
     "choices_category": Entry(
         _choices("category", compare.Comparison(fund_types=("ASIA", benchmark.LABEL), contribution=(True,))),
         _choices_sql("category", "fund_type IN ('ASIA', 'benchmark') AND contribution")),

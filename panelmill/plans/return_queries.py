@@ -171,10 +171,14 @@ QUERIES = {
         lambda s, d: _kept(returns.subset(_risk(s, d), contribution=True)),
         with_views(f"SELECT {_RISK_COLUMNS} FROM annual a LEFT JOIN daily d USING (code) WHERE a.contribution",
                    *_RISK_VIEWS)),
-    "risk_return_categories": Entry(
+    "risk_return_types": Entry(
         lambda s, d: rounded(
             returns.risk_return_by_category(returns.subset(_risk(s, d), fund_type=["ASIA", "EUROPE"])), *FIGURES),
         _risk_by("category", "fund_type", where="a.fund_type IN ('ASIA', 'EUROPE')")),
+    "risk_return_categories": Entry(
+        lambda s, d: _kept(returns.subset(_risk(s, d), category=["NATION_2", "NATION_7", "NATION_11"])),
+        with_views(f"""SELECT {_RISK_COLUMNS} FROM annual a LEFT JOIN daily d USING (code)
+          WHERE a.category IN ('NATION_2', 'NATION_7', 'NATION_11')""", *_RISK_VIEWS)),
     "two_date_compare": Entry(_compared, _COMPARED),
     "movers_table": Entry(
         lambda s, d: movers.movers_table(_compared(s, d)),
@@ -190,12 +194,12 @@ QUERIES = {
     "mover_category_mix_bottom": Entry(
         lambda s, d: movers.category_mix(movers.bottom_movers(_compared(s, d))), _mix("ASC")),
     "valuation_snapshot": Entry(
-        lambda s, d: histogram.valuation_snapshot(_anchors(s, d), LAST).select(
+        lambda s, d: histogram.valuation_snapshot(fund_monthly(s, d, LAST), LAST).select(
             "code", "contribution", "fund_type", "people", "total_value", "total_value_millions", "total_value_bins"),
         with_views("SELECT * FROM valued", FUND_MONTHLY_SQL, _VALUATION_VIEW)),
     "valuation_hist": Entry(
-        lambda s, d: histogram.valuation_histogram(_anchors(s, d), LAST),
+        lambda s, d: histogram.valuation_histogram(fund_monthly(s, d, LAST), LAST),
         _histogram("total_value_millions", "contribution")),
     "investors_hist": Entry(
-        lambda s, d: histogram.investors_histogram(_anchors(s, d), LAST), _histogram("people", "fund_type")),
+        lambda s, d: histogram.investors_histogram(fund_monthly(s, d, LAST), LAST), _histogram("people", "fund_type")),
 }

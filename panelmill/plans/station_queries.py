@@ -24,10 +24,23 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
         F.lit("41.5").alias("LAT"), F.lit("0").alias("LON"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("LAST_CONNECTION"))
     document = F.to_json(F.struct(F.array(record).alias("dataList")))
-    rows = st.typed_stations(st.station_rows(table(spark, d, "events").select(document.alias("value"))))
+    return table(spark, d, "events").select("event_id", "event_type", document.alias("value"))
+
+
+def _typed(documents: DataFrame) -> DataFrame:
+    rows = st.typed_stations(st.station_rows(documents))
     return rows.withColumn("LAST_CONNECTION", F.col("LAST_CONNECTION").cast("timestamp_ntz"))
 
 
+def _faulty(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with some cut short, some without the list, and some missing."""
+    value = (
+        F.when(F.col("event_id") % 11 == 0, F.expr("left(value, length(value) - 9)"))
+        .when(F.col("event_id") % 11 == 1, F.replace("value", F.lit("dataList"), F.lit("other")))
+        .when(F.col("event_id") % 11 != 2, F.col("value")))
+    return _documents(spark, d).withColumn("value", value)
+
+
 _DOCUMENTS = """SELECT CAST(event_id AS VARCHAR) AS ID, CAST(user_id AS DOUBLE) AS STATION_NO, event_type AS STATION_NAME,
   '1' AS ACTIVE, CAST(value AS DOUBLE) AS EMPTY, TRY_CAST(CASE WHEN event_type <> 'error'
     THEN json_extract_string(props, '$.k') ELSE 'n/a' END AS DOUBLE) AS "FULL",
@@ -48,7 +61,12 @@ _SHOWN = st.StationFilter(empty=(5, 50), rate=(10, 60))
 _SHOWN_SQL = "ACTIVE_SUSPICION = 1 AND TEST_DATA = 0 AND EMPTY BETWEEN 5 AND 50"
 
 QUERIES = {
-    "station_documents": Entry(_documents, _DOCUMENTS),
+    "station_documents": Entry(lambda s, d: _typed(_documents(s, d)), _DOCUMENTS),
+    "station_documents_readable": Entry(
+        lambda s, d: _typed(st.readable_documents(_faulty(s, d))), _DOCUMENTS + " WHERE event_id % 11 > 2"),
+    "station_documents_rejected": Entry(
+        lambda s, d: st.unreadable_documents(_faulty(s, d)).groupBy("event_type").agg(F.count(F.lit(1)).alias("documents")),
+        "SELECT event_type, count(*) AS documents FROM events WHERE event_id % 11 <= 2 GROUP BY event_type"),
     "station_snapshot": Entry(
         _snapshot,
         with_views('SELECT * EXCLUDE (latest, lo, hi) FROM snapshot', *_VIEWS)),

@@ -57,9 +57,11 @@ def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines are reduced to that key first, with a map-side combine, so the joins and windows above see
     at most one row per calendar day and code, however many lines one supplier has.
     """
-    lines = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_suppkey", "CAST(l_shipdate AS DATE) AS date", "l_quantity", "l_orderkey",
-        f"{cents('l_extendedprice')} AS cents")
+    return values_of(table(spark, sf_dir, "lineitem").withColumn("date", F.col("l_shipdate").cast("date")))
+
+
+def values_of(lines: DataFrame) -> DataFrame:
+    lines = lines.selectExpr("l_suppkey", "date", "l_quantity", "l_orderkey", f"{cents('l_extendedprice')} AS cents")
     return lines.groupBy("l_suppkey", "date").agg(
         F.expr("sum(cents) / 100D AS total_value"), F.expr("sum(l_quantity) AS shares"),
         F.expr("count(DISTINCT l_orderkey) AS people"),
@@ -80,6 +82,24 @@ def fund_monthly(spark: SparkSession, sf_dir: str, *months: str) -> DataFrame:
     return closes.join(entities(spark, sf_dir), "code")
 
 
+def fund_monthly_between(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
+    """Month closes from ``start`` to ``end`` (first days of months), and each code's last close before ``start``.
+
+    Both bounds reach the scan of the lines. Of the older lines, those of a code's last day are looked up by
+    that day, which is one row per code, so the history is never grouped by day.
+    """
+    def lines() -> DataFrame:
+        return table(spark, sf_dir, "lineitem").withColumn("date", F.col("l_shipdate").cast("date"))
+
+    older = lines().filter(F.col("l_shipdate") < F.lit(start).cast("timestamp_ntz"))
+    last = older.groupBy("l_suppkey").agg(F.max("date").alias("date"))
+    recent = lines().filter(
+        (F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz"))
+        & (F.col("l_shipdate") < F.add_months(F.lit(end).cast("date"), 1).cast("timestamp_ntz")))
+    rows = recent.unionAll(older.join(last, ["l_suppkey", "date"], "left_semi").select(*recent.columns))
+    return monthly_close(values_of(rows)).join(entities(spark, sf_dir), "code")
+
+
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each asset in a fund-day's value, in percent; returned lines are not in it."""
     lines = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")
@@ -120,7 +140,7 @@ def benchmark_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One station per user: views are free places, clicks are places in use."""
-    k = "CAST(get_json_object(props, '$.k') AS INT)"
+    k = "try_cast(get_json_object(props, '$.k') AS INT)"
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("STATION_NO")).agg(
         F.expr("count_if(event_type = 'view') AS EMPTY"), F.expr("count_if(event_type = 'click') AS FULL"),
         F.expr(f"min({k}) AS LAT"), F.expr(f"max({k}) AS LON"), F.expr("max(ts) AS LAST_CONNECTION"),

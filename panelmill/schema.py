@@ -64,6 +64,10 @@ PRICE_SHEET = _struct(**{
 })
 ALLOCATION_SHEET = _struct(**{"Tarih": _DATE, "Fon Kodu": _TEXT, "Fon Adı": _TEXT}
                            | {heading: _NUMBER for heading in ALLOCATION_NAMES})
+DAILY_PANEL = _struct(
+    date=_DATE, code=_TEXT, fund_type=_TEXT, category=_TEXT, name=_TEXT,
+    **{name: _NUMBER for name in PRICE_NAMES.values() if name not in ("date", "code", "name")},
+    **{name: _NUMBER for name in ALLOCATION_NAMES.values()})
 CATEGORIES = _struct(code=_TEXT, category=_TEXT)
 COMPANIES = _struct(company_code=_TEXT, company_name=_TEXT, company_type=_TEXT)
 BENCHMARK_WIDE = _struct(date=_DATE, **{name: _NUMBER for name in BENCHMARKS})

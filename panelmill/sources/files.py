@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelmill import schema
-from panelmill.functions.dates import parse_date
+from panelmill.functions.dates import day, parse_date
+from panelmill.operators.guards import single
 
 Paths = str | Sequence[str]
+YEAR_FOLDER = "panel_year"
+BAD_LINE = "_bad_line"
 
 
 def _scan(spark: SparkSession, paths: Paths, kind: T.StructType, file_format: str, **options: str) -> DataFrame:
@@ -28,6 +31,26 @@ def _union_by_type(spark: SparkSession, paths: Mapping[str, Paths], kind: T.Stru
     return reduce(DataFrame.unionByName, scans)
 
 
+def unreadable_lines(spark: SparkSession, paths: Mapping[str, Paths], kind: T.StructType, **options: str) -> DataFrame:
+    """Lines of CSV sheets with a cell that isn't of its declared type, with the fund type they belong to.
+
+    The readers give NULL for such cells; count these lines to see how many, or read with ``mode="FAILFAST"``.
+    """
+    marked = T.StructType([*kind, T.StructField(BAD_LINE, T.StringType())])
+    rows = _union_by_type(spark, paths, marked, "csv", columnNameOfCorruptRecord=BAD_LINE, enforceSchema="true", **options)
+    return rows.filter(F.col(BAD_LINE).isNotNull())
+
+
+def reject_counts(spark: SparkSession, paths: Mapping[str, Paths], kind: T.StructType, **options: str) -> DataFrame:
+    """How many lines of each fund type's sheets are unreadable.
+
+    Only columns in use are looked at by the CSV parser, so all of them go into the first count's key.
+    """
+    bad = unreadable_lines(spark, paths, kind, **options)
+    per_value = bad.groupBy("fund_type", F.xxhash64(*bad.columns)).agg(F.count(F.lit(1)).alias("n"))
+    return per_value.groupBy("fund_type").agg(F.sum("n").alias("lines"))
+
+
 def read_prices(spark: SparkSession, paths: Mapping[str, Paths], file_format: str = "csv", **options: str) -> DataFrame:
     """Price sheets of each fund type: one scan per type over all its files, columns renamed."""
     sheets = _union_by_type(spark, paths, schema.PRICE_SHEET, file_format, **options)
@@ -44,7 +67,8 @@ def read_allocations(spark: SparkSession, paths: Mapping[str, Paths], file_forma
 def read_categories(spark: SparkSession, headings: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Category of each code from comparison reports: path to its (code, category) headings.
 
-    The reports have more columns than these two, so the headings are looked up in the file.
+    The reports have more columns than these two, so the headings are looked up in the file. A code that two
+    reports or lines list stays twice here; ``consolidate_daily`` refuses it.
     """
     reports = [
         spark.read.option("header", True).csv(path).select(F.col(code).alias("code"), F.col(category).alias("category"))
@@ -83,17 +107,37 @@ def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
         df.write.mode("overwrite").parquet(path)
 
 
-def write_daily_panel(df: DataFrame, path: str) -> None:
-    """Daily panel by year, so that date ranges read only their years."""
-    write_stage(df.withColumn("year", F.year("date")), path, ["year"])
+def write_daily_panel(df: DataFrame, path: str, kind: T.StructType = schema.DAILY_PANEL) -> None:
+    """Daily panel in folders by year, which ``read_daily_panel`` skips by date. Declared columns get their type."""
+    typed = df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in kind if f.name in df.columns})
+    write_stage(typed.withColumn(YEAR_FOLDER, F.year("date")), path, [YEAR_FOLDER])
+
 
+def read_daily_panel(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
+                     kind: T.StructType | None = schema.DAILY_PANEL) -> DataFrame:
+    """The staged daily panel between two dates (both included), with the columns that were written.
+
+    Only the folders of those years are read. The schema is declared; ``None`` takes it from the files, for
+    panels with other columns. Rows without a date are read only if no date is given.
+    """
+    reader = spark.read if kind is None else spark.read.schema(T.StructType([*kind, T.StructField(YEAR_FOLDER, T.IntegerType())]))
+    rows = reader.parquet(path)
+    if start is not None:
+        rows = rows.filter((F.col(YEAR_FOLDER) >= int(start[:4])) & (F.col("date") >= day(start)))
+    if end is not None:
+        rows = rows.filter((F.col(YEAR_FOLDER) <= int(end[:4])) & (F.col("date") <= day(end)))
+    return rows.drop(YEAR_FOLDER)
 
-def write_bucketed_panel(df: DataFrame, table: str, buckets: int) -> None:
-    """Panel as a table bucketed by code: windows and joins by code then read it without a shuffle."""
-    (
-        df.repartition(buckets, "code").write.mode("overwrite")
-        .bucketBy(buckets, "code").sortBy("code", "date").saveAsTable(table)
-    )
+
+def write_bucketed_panel(df: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Panel as a table bucketed by code: windows and joins by code then read it without a shuffle.
+
+    One code goes to one bucket, so the panel must be unique per code and date; a repeated key is an error.
+    ``path`` is the table's location; without it, the session's warehouse is used.
+    """
+    rows = df.repartition(buckets, "code").withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("code", "date")))
+    writer = single(rows, "_rows", "row", "code", "date").write.mode("overwrite").bucketBy(buckets, "code").sortBy("code", "date")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

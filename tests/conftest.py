@@ -10,7 +10,7 @@ from panelmill.session import build_session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="4g",
+        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__sql__maxMetadataStringLength="2000", spark__driver__memory="4g",
         spark__ui__showConsoleProgress="false",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
     session.sparkContext.setLogLevel("OFF")

@@ -55,7 +55,7 @@ def test_funnel_of_nothing(frame):
 
 
 def test_active_and_inactive_rows_make_the_whole(quotes):
-    latest = quality.on_latest_date(quotes).select("code").distinct()
+    latest = quality.active_codes(quotes)
     active = quotes.join(latest, "code", "left_semi").count()
     assert active + quality.inactive_rows(quotes).count() == quotes.count()
 
@@ -134,7 +134,7 @@ def test_companies_are_merged_matched_and_overridden(frame, funds):
 def test_two_companies_for_a_matched_prefix_are_refused(frame, funds):
     listed = frame([*COMPANIES, ("AK2", "AK PORTFÖY İKİ", "mutual")],
                    "company_code string, company_name string, company_type string")
-    with pytest.raises(PySparkException, match="two companies"):
+    with pytest.raises(PySparkException, match="more than one company"):
         co.attach_company(funds, co.conform_companies(listed, funds)).collect()
 
 

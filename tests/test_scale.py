@@ -40,7 +40,33 @@ def test_date_range_reaches_the_scan_and_stays_above_the_window(spark):
 def test_anchor_months_reach_the_scan(spark):
     plan = plan_of(CATALOG["two_date_compare"].run(spark, SF_DIR))
     scan = next(line for line in plan.splitlines() if "lineitem.parquet" in line)
-    assert "PushedFilters: [Or(And(GreaterThanOrEqual(l_shipdate,1999-11-01T00:00)" in scan
+    pushed = scan.partition("PushedFilters: ")[2]
+    assert "Or(And(GreaterThanOrEqual(l_shipdate,1999-11-01T00:00)" in pushed
+    assert "And(GreaterThanOrEqual(l_shipdate,2000-11-01T00:00),LessThan(l_shipdate,2000-12-01T00:00))" in pushed
+
+
+@pytest.mark.parametrize("name", ["compare_growth", "compare_growth_filtered", "compare_risk", "compare_risk_overall"])
+def test_both_dates_of_a_comparison_reach_every_scan_of_the_lines(spark, name):
+    scans = [x for x in plan_of(CATALOG[name].run(spark, SF_DIR)).splitlines() if "lineitem.parquet" in x]
+    recent = [x for x in scans if "GreaterThanOrEqual(l_shipdate,1999-11-01T00:00)" in x and "LessThan(l_shipdate,2000-12-01T00:00)" in x]
+    older = [x for x in scans if "LessThan(l_shipdate,1999-11-01T00:00)" in x]
+    assert recent and older and len(recent) + len(older) == len(scans)
+
+
+@pytest.mark.parametrize("name", ["clean_panel", "inactive_rows"])
+def test_cleaning_reads_the_table_twice(spark, name):
+    plan = final_plan_of(CATALOG[name].run(spark, SF_DIR))
+    assert plan.count("lineitem.parquet") == 2
+
+
+def test_one_month_snapshots_read_one_month(spark):
+    for name in ("valuation_snapshot", "valuation_hist", "investors_hist"):
+        assert "1999-11-01" not in plan_of(CATALOG[name].run(spark, SF_DIR))
+
+
+def test_counting_people_moves_one_row_per_order(spark):
+    plan = plan_of(CATALOG["consolidate_daily"].run(spark, SF_DIR))
+    assert re.search(r"Exchange hashpartitioning\(l_suppkey#\d+L, date#\d+, l_orderkey#\d+L", plan)
 
 
 def test_top_k_does_not_sort_everything(spark):
