@@ -70,7 +70,11 @@ class LineRuns:
             self._put(self._run(self._merged(full)), level + 1)
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionAll, runs).groupBy(*HASH).agg(F.sum("n").alias("n"))
+        """Runs merged by hash. Not a union: over bucketed files, that must not be taken for bucketed itself."""
+        def merge(one: DataFrame, two: DataFrame) -> DataFrame:
+            both = one.join(two.hint("merge").withColumnRenamed("n", "_n"), HASH, "full_outer")
+            return both.select(*HASH, (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
+        return reduce(merge, runs)
 
     def _run(self, counts: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
