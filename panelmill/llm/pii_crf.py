@@ -98,7 +98,7 @@ def read_words(raw: np.ndarray, at: np.ndarray) -> Words:
     start, end, _ = word_spans(~blank, at)
     breaks = np.union1d(np.flatnonzero(raw == 10), at[1:-1])
     line = np.concatenate([[0], np.flatnonzero(np.diff(np.searchsorted(breaks, start, "right"))) + 1]) if len(start) else start
-    start, end = start.copy(), end.copy()
+    begin, start, end = start, start.copy(), end.copy()
     while len(start):
         move = (start < end) & TRIM[raw[np.minimum(start, len(raw) - 1)]]
         start += move
@@ -106,6 +106,8 @@ def read_words(raw: np.ndarray, at: np.ndarray) -> Words:
         end -= back
         if not (move.any() or back.any()):
             break
+    bare = start >= end  # a word of signs alone keeps its place
+    start[bare] = end[bare] = begin[bare]
     return Words(start, end, _shape_keys(raw, start, end), line)
 
 

@@ -36,6 +36,11 @@ visa [card:9999-9999-9999-9999] expires soon
 Her credit card number is [card:9999 999999 99999] now
 amex [card:999999999999999] declined
 that [card:9999999999999999].
+card [card:9999999999999999], [phone:+9 (999) 999-9999] and [email:xxxx.99@mail9.example.com]
+[ip:99.99.99.999], [card:9999999999999999], [phone:(999) 999-9999]
+[email:xxxx.99@mail9.example.com] [card:9999999999999999] [ip:99.999.9.99] [phone:+9 (999) 999-9999]
+[phone:+9 (999) 999-9999], [card:9999 9999 9999 9999], [id:999-99-9999]
+[phone:(999) 999-9999] [card:9999999999999999] or [card:9999999999999999], [email:xxxx.99@mail9.example.com]
 SSN [id:999-99-9999] on file
 social security number [id:999-99-9999] was leaked
 her ssn is [id:999-99-9999] they said
