@@ -53,10 +53,14 @@ def _returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _returns_between(spark: SparkSession, d: str, start: str, end: str) -> DataFrame:
-    """The returns of some months, from lines of these months and each code's last day before them."""
+    """The returns of some months, from lines of these months and each code's last day before them.
+
+    The panel has one close per code from before ``start``, so only the end is left to bound; the comparison
+    itself leaves out what is before ``start``.
+    """
     panel = fund_monthly_between(spark, d, start, end)
     series = benchmark.benchmark_long(_wide(spark, d), SERIES)
-    return monthly_returns(benchmark.panel_with_benchmarks(panel, series), start, end)
+    return monthly_returns(benchmark.panel_with_benchmarks(panel, series), end=end)
 
 
 _SERIES_SQL = ", ".join(SERIES)

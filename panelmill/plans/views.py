@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmill.operators.monthly import in_months, month_end, monthly_close
@@ -85,18 +85,19 @@ def fund_monthly(spark: SparkSession, sf_dir: str, *months: str) -> DataFrame:
 def fund_monthly_between(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
     """Month closes from ``start`` to ``end`` (first days of months), and each code's last close before ``start``.
 
-    Both bounds reach the scan of the lines. Of the older lines, those of a code's last day are looked up by
-    that day, which is one row per code, so the history is never grouped by day.
+    Both bounds reach the scan of the lines. Of the older lines only those of a code's last day leave the task that
+    reads them; the history is neither shuffled nor grouped by day.
     """
     def lines() -> DataFrame:
         return table(spark, sf_dir, "lineitem").withColumn("date", F.col("l_shipdate").cast("date"))
 
     older = lines().filter(F.col("l_shipdate") < F.lit(start).cast("timestamp_ntz"))
-    last = older.groupBy("l_suppkey").agg(F.max("date").alias("date"))
+    latest = Window.partitionBy("l_suppkey").orderBy(F.desc("date"))
+    last = older.withColumn("_rank", F.rank().over(latest)).filter("_rank = 1")
     recent = lines().filter(
         (F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz"))
         & (F.col("l_shipdate") < F.add_months(F.lit(end).cast("date"), 1).cast("timestamp_ntz")))
-    rows = recent.unionAll(older.join(last, ["l_suppkey", "date"], "left_semi").select(*recent.columns))
+    rows = recent.unionAll(last.select(*recent.columns))
     return monthly_close(values_of(rows)).join(entities(spark, sf_dir), "code")
 
 
