@@ -46,6 +46,7 @@ class LineRuns:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
 
     def add(self, keys: DataFrame) -> None:
         """Takes the keys (doc_id, h1, h2) of a batch of documents."""
@@ -82,8 +83,15 @@ class LineRuns:
             counts.write.option("path", new_path(self.spark, name))
             .bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         )
+        self.names.append(name)
         return self.spark.table(name)
 
+    def close(self) -> None:
+        """Takes the runs out of the catalog, once nothing reads them any more; the files go with the session."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels, self.names = [], []
+
 
 def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """doc_id, tid, dropped: the places of the lines of each document whose key is in ``min_docs`` documents.
@@ -97,6 +105,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batch
     for batch in range(batches):
         runs.add(keys.filter(F.col("batch") == batch))
     repeated = stored(runs.repeated(), "repeated-lines")
+    runs.close()
     return keys.join(repeated, HASH, "left_semi").groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("dropped"))
 
 
