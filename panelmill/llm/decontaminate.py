@@ -37,7 +37,8 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     known = stored(terms.select("term").unionAll(empty).distinct().coalesce(1), "terms")
     texts = docs.select("doc_id", text_id(F.col("text")).alias("tid"), raw_words(F.col("text")).alias("w"))
     every = texts.select(*DOC, F.size("w").alias("n"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "word"))
-    return every.select(*DOC, lower_ascii(F.col("word")).alias("term"), F.when(F.col("pos") == 0, F.col("n")).otherwise(F.col("pos")).alias("pos")).join(known, "term")
+    place = F.when(F.col("pos") == 0, F.col("n")).otherwise(F.col("pos")).alias("pos")
+    return every.select(*DOC, lower_ascii(F.col("word")).alias("term"), place).join(known, "term")
 
 
 def rarest(items: DataFrame, index: DataFrame, anchors: int) -> DataFrame:

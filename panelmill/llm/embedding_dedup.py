@@ -145,8 +145,11 @@ def index(distinct: DataFrame, cfg: MultiIndex) -> tuple[DataFrame, int] | None:
 
 def in_cells(indexed: DataFrame, cfg: MultiIndex) -> DataFrame:
     """Residents and visitors of each cell with two residents or more, in blocks of bounded size either way."""
-    visitors = indexed.select(F.explode("visits").alias("cell"), F.lit(False).alias("resident"), "node", "n", "e", F.col("cell").alias("home"), F.array().cast("array<long>").alias("visits"))
-    residents = indexed.select("cell", F.lit(True).alias("resident"), "node", "n", "e", F.col("cell").alias("home"), "visits")
+    home = F.col("cell").alias("home")
+    visitors = indexed.select(
+        F.explode("visits").alias("cell"), F.lit(False).alias("resident"), "node", "n", "e", home,
+        F.array().cast("array<long>").alias("visits"))
+    residents = indexed.select("cell", F.lit(True).alias("resident"), "node", "n", "e", home, "visits")
     count = indexed.groupBy("cell").agg(F.count("*").alias("_r"))
     coming = indexed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("_v"))
     size = count.join(coming, "cell").filter("_v > 1").select(

@@ -76,15 +76,13 @@ def _same(a: pa.RecordBatch, b: pa.RecordBatch, names: list[str]) -> bool:
     return all(a.column(n)[a.num_rows - 1].as_py() == b.column(n)[0].as_py() for n in names)
 
 
-def spanning_forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], heads: np.ndarray | None = None
-                    ) -> list[tuple[int, int]]:
+def spanning_forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Edges that connect 0..n-1 exactly as all links would, without comparing members already connected.
 
     ``near(i, others)`` says which others link with i. Breadth first: a member is compared with those
     not reached yet, so a group that holds together costs few comparisons.
     """
-    order = np.arange(n) if heads is None else heads
-    left = order.copy()
+    left = np.arange(n)
     edges: list[tuple[int, int]] = []
     while len(left):
         queue, left = [int(left[0])], left[1:]

@@ -37,8 +37,8 @@ class Profiles:
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Number of the lower-case letter of each code point, counted from 1; 0 for all that are no letters."""
-    lower = np.array([ord(low) if c.isalpha() and len(low := c.lower()) == 1 else ord(c) if c.isalpha() else 0
-                      for c in map(chr, range(0x110000))], np.int64)
+    every = (c if c.isalpha() else "\0" for c in map(chr, range(0x110000)))
+    lower = np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in every], np.int64)
     _, number = np.unique(lower, return_inverse=True)
     return number
 

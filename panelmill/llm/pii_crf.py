@@ -69,10 +69,6 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int]:
     return span[0], KINDS.index(span[2])
 
 
-def listed(spans: Sequence[tuple[int, int, str]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
-
-
 @dataclass
 class Words:
     """Words of some lines: byte spans without outer signs, shape keys, and the lines' first words."""

@@ -306,6 +306,15 @@ def test_merge_replay_is_the_library(spark, library, monkeypatch):
     assert [x.tolist() for x in pretokens.PieceEncoder(replay)(given)] == expected
 
 
+def test_ids_and_bytes_as_tables(spark, table, library):
+    rows = [(i, t) for i, t in enumerate(texts(12, 30))]
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(table([*rows, (None, None)], "doc_id long, text string"), path)
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in encoded.collect()}
+    assert ids == {i: library.encode_ordinary(t) for i, t in rows} | {None: []}
+    assert {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode_documents(encoded, path).collect()} == dict(rows) | {None: ""}
+
+
 def test_sequences_are_read_back(spark, table, tmp_path):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
