@@ -22,9 +22,12 @@ def parse_date(text: Column, layout: str) -> Column:
     return F.try_to_timestamp(text, F.lit(layout)).cast("date")
 
 
-def parse_timestamp(text: Column) -> Column:
-    """Timestamp from ISO text to the second; whatever follows the seconds is ignored."""
-    return F.try_to_timestamp(F.substring(text, 1, 19), F.lit(ISO_SECONDS))
+def parse_timestamp(text: Column, length: int = 19, layout: str = ISO_SECONDS) -> Column:
+    """Timestamp from the first ``length`` characters of ISO text.
+
+    By default that is up to the second: what follows, a fraction or an offset, is ignored.
+    """
+    return F.try_to_timestamp(F.substring(text, 1, length), F.lit(layout))
 
 
 def month_start(date: Column) -> Column:

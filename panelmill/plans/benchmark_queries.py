@@ -9,8 +9,8 @@ from panelmill.operators import benchmark, cohort, compare, monthly
 from panelmill.operators.returns import monthly_returns
 from panelmill.plans.common import Entry, rounded, with_views
 from panelmill.plans.views import (
-    BENCHMARK_MONTHS_SQL, FUND_MONTHLY_SQL, SERIES, benchmark_daily, benchmark_months, fund_daily, fund_monthly, fund_monthly_between,
-    table,
+    BENCHMARK_MONTHS_SQL, FUND_MONTHLY_SQL, SERIES, benchmark_daily, benchmark_months, entities, fund_daily, fund_monthly,
+    fund_monthly_between, table,
 )
 from panelmill.sources.crosstab import crosstab_series
 
@@ -144,8 +144,16 @@ _COMPANY_WHERE = """fund_type IN ('ASIA', 'EUROPE', 'benchmark') AND contributio
   AND category IN ('NATION_2', 'NATION_3', 'NATION_7', 'NATION_8', 'benchmark')"""
 
 
+def _pickable(spark: SparkSession, d: str) -> DataFrame:
+    """What there is to pick from: funds with any line, and the series. A picker needs no prices and no months."""
+    dated = table(spark, d, "lineitem").filter("l_shipdate IS NOT NULL")
+    funds = entities(spark, d).join(dated.selectExpr("CAST(l_suppkey AS STRING) AS code").distinct(), "code", "left_semi")
+    series = benchmark.benchmark_long(_wide(spark, d), SERIES)
+    return funds.unionByName(series.select(*funds.columns))
+
+
 def _choices(column: str, q: compare.Comparison | None = None):
-    return lambda s, d: compare.choices(_union(s, d), column, q)
+    return lambda s, d: compare.choices(_pickable(s, d), column, q)
 
 
 def _choices_sql(column: str, where: str = "TRUE") -> str:
