@@ -1,20 +1,23 @@
 """Secrets by fixed patterns, and by what it would cost to guess the values in credential contexts.
 
 The cost of a value is the least sum, over all ways to cut it into segments, of the segments' guesses (as powers of
-ten): known words by rank, dates, repeats, keyboard walks, and brute force for the rest. A value that is cheap
-to guess is taken for a placeholder or a plain word, a dear one for a secret.
+ten): known words by rank, dates, repeats, keyboard walks, and brute force over the characters' alphabets for the
+rest. A value that is cheap to guess is taken for a placeholder or a plain word, a dear one for a secret.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelmill.llm.bpe import read_ranks
+
 KINDS = ("assign", "access", "hex", "cred")
 BASE_KINDS = KINDS[:3]
 ASSIGN = re.compile(
@@ -38,8 +41,10 @@ secure security temp temporary backup office super power computer internet googl
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.ASCII)
 LEET = str.maketrans("4310$57@!", "aeiossta" + "i")
-WORD_LIKE = 0.5
+WORD_LIKE = log10(26)
 NEXT_SEGMENT = 0.3
+#: More than any one word of the list costs, with a capital; six random digits cost 6.
+LEAST = 5.0
 
 
 def _neighbours() -> dict[str, str]:
@@ -55,9 +60,33 @@ def _neighbours() -> dict[str, str]:
 NEIGHBOURS = _neighbours()
 
 
-def segments(value: str, words: dict[str, int], longest: int) -> Iterator[tuple[int, int, float, str]]:
+@lru_cache(maxsize=1)
+def language() -> dict[str, int]:
+    """Rank of each word: COMMON, then the ASCII words of three letters or more of the 50k byte vocabulary, whose order is
+    that of its merges (frequent ones first). Words of other languages are known only where English text has them."""
+    import public_tokenizers
+    tokens = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = (t[1:].decode().lower() for t in tokens if t[:1] == b" " and len(t) >= 4 and t[1:].isalpha())
+    return {word: i + 1 for i, word in enumerate(dict.fromkeys((*COMMON, *own)))}
+
+
+def flat(value: str) -> list[float]:
+    """Brute force for each character: a lower-case letter's alphabet among letters, else a power of ten."""
+    letters = [True, *(c.isalpha() for c in value), True]
+    return [WORD_LIKE if all(letters[i:i + 3]) else 1.0 for i in range(len(value))]
+
+
+def by_alphabet(value: str) -> list[float]:
+    """Brute force for each character: 10 digits, 26 letters (52 if the value has both cases), 33 signs, 100 beyond ASCII."""
+    letter = log10(52 if value.lower() != value != value.upper() else 26)
+    return [2.0 if c > "\x7f" else letter if c.isalpha() else 1.0 if c.isdigit() else log10(33) for c in value]
+
+
+def segments(value: str, words: dict[str, int], longest: int, charges: Sequence[float] | None = None) -> Iterator[tuple[int, int, float, str]]:
     """(start, end, log10 of guesses, what) of all patterns in the value. Runs are given whole and in their prefixes' stead."""
     low, plain = value.lower(), value.lower().translate(LEET)
+    if len(low) != len(value):
+        low, plain = value, value.translate(LEET)
     n = len(value)
     for i in range(n):
         for j in range(i + 3, min(n, i + longest) + 1):
@@ -83,7 +112,8 @@ def segments(value: str, words: dict[str, int], longest: int) -> Iterator[tuple[
                 j += 1
             times = (j - i) // unit
             if times >= 2:
-                yield i, i + times * unit, unit * (WORD_LIKE if value[i:i + unit].isalpha() else 1.0) + log10(times), "repeat"
+                once = sum(charges[i:i + unit]) if charges else unit * (WORD_LIKE if value[i:i + unit].isalpha() else 1.0)
+                yield i, i + times * unit, once + log10(times), "repeat"
                 i += (times - 1) * unit
             i += 1
     for step in (NEIGHBOURS.get, lambda c: chr(ord(c) + 1) + chr(max(0, ord(c) - 1))):
@@ -97,24 +127,22 @@ def segments(value: str, words: dict[str, int], longest: int) -> Iterator[tuple[
             i = max(j - 1, i + 1)
 
 
-def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
-    """(log10 of the guesses, the cheapest segmentation). Letters alone are language: half a power each by brute force.
+def guess_cost(value: str, words: dict[str, int] | None = None, charges: Sequence[float] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+    """(log10 of the guesses, the cheapest segmentation). ``charges`` are what the characters cost by brute force (``flat``).
 
     Linear in the value's length: brute force goes on character by character, and patterns are bounded or whole runs.
     """
     words = words if words is not None else WORDS
     ending: dict[int, list[tuple[int, float, str]]] = {}
-    for i, j, cost, what in segments(value, words, max(map(len, words), default=0)):
+    for i, j, cost, what in segments(value, words, max(map(len, words), default=0), charges):
         ending.setdefault(j, []).append((i, cost, what))
-    letters = [c.isalpha() for c in value]
+    charges = flat(value) if charges is None else charges
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
     brute: list[tuple[float, int]] = [(float("inf"), 0)]
     for j in range(1, len(value) + 1):
-        alone = letters[j - 1] and (j < 2 or letters[j - 2]) and (j == len(value) or letters[j])
-        step = WORD_LIKE if alone else 1.0
         fresh = best[j - 1][0] + (NEXT_SEGMENT if j > 1 else 0)
         cost, since = min((brute[j - 1][0], brute[j - 1][1]), (fresh, j - 1))
-        brute.append((cost + step, since))
+        brute.append((cost + charges[j - 1], since))
         ways = [(brute[j][0], since, "brute")]
         ways += [(best[i][0] + c + (NEXT_SEGMENT if i else 0), i, what) for i, c, what in ending.get(j, ())]
         best.append(min(ways))
@@ -149,17 +177,17 @@ def costly_values(text: str, words: dict[str, int], least: float) -> list[tuple[
     low = text.lower()
     if not any(hint in low for hint in HINTS) or not (":" in text or "=" in text):
         return []
-    found = ((m.start(1), m.end(1), "cred", guess_cost(m[1], words)[0]) for m in CONTEXT.finditer(text))
+    found = ((m.start(1), m.end(1), "cred", guess_cost(m[1], words, by_alphabet(m[1]))[0]) for m in CONTEXT.finditer(text))
     return [s for s in found if s[3] >= least]
 
 
-def scan(docs: DataFrame, least: float = 7.0, common: Sequence[str] = tuple(COMMON)) -> DataFrame:
+def scan(docs: DataFrame, least: float = LEAST, common: Sequence[str] | None = None) -> DataFrame:
     """doc_id, base and spans (arrays of start, end, kind, cost; code points, end exclusive) of every whole text.
 
     ``spans`` has the base spans (cost null) and the costly values that overlap none of them, by start, then kind.
-    A null or empty text has none. Rows keep their number and doc_id, null or repeated; other columns are ignored.
+    ``common`` are words, most frequent first, in place of ``language()``; they go to every task. A null or empty text has none. Rows keep their number and doc_id, null or repeated; other columns are ignored.
     """
-    words = {word: i + 1 for i, word in enumerate(common)}
+    words = language() if common is None else {word: i + 1 for i, word in enumerate(common)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("start", "end", "kind", "cost")

@@ -421,3 +421,14 @@ def test_costly_values_are_added(table):
     row = secret_scan.scan(table([(1, text)], "doc_id long, text string")).first()
     assert [(s.kind, text[s.start:s.end]) for s in row.base] == [("assign", "token=9f8a7b6c5d4e3f2a"), ("hex", "9f8a7b6c5d4e3f2a")]
     assert [(s.kind, text[s.start:s.end]) for s in row.spans if s.kind == "cred"] == [("cred", "q7$Kx!9zP")]
+
+
+def test_random_letters_and_short_random_values_are_secrets(table):
+    rng, small, both = random.Random(9), "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    drawn = ["".join(rng.choice(kind) for _ in range(n)) for kind in (small, both) for n in (6, 8, 13) for _ in range(100)]
+    secrets = ["kqzvbnrtmwxh", "kqzvbnrtmwx", "x7Kp2q", "kqzvbn", "493817"]
+    words = ["changeme", "Required", "forgotten", "Monday", "12345678", "summer2024", "user.password", "qwertyuiop", "abcabcabc"]
+    docs = table([(i, f"pwd={value} ") for i, value in enumerate(secrets + words + drawn)], "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.scan(docs).collect() if any(s.kind == "cred" for s in r.spans)}
+    assert found & set(range(len(secrets + words))) == set(range(len(secrets)))
+    assert sum(i >= len(secrets + words) for i in found) >= 0.99 * len(drawn)
