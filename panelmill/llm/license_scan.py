@@ -2,15 +2,17 @@
 
 Templates and texts become words. Hashes of ``gram`` consecutive words are winnowed: of every ``window`` of them
 the least is kept (the last of equals), so a stretch of ``gram + window - 1`` words that a text shares with a template gives
-a shared fingerprint. An inverted index of the templates' fingerprints, whose size depends on the templates
-alone, leads to candidate places; there, the template is aligned with the text in a band around the diagonal.
+a shared fingerprint. With a window of 1, every gram counts: a template of six words or more of which a fifth is missing
+still has three words in a row, a shorter one two. An inverted index of the templates' fingerprints, whose size depends
+on the templates alone, leads to candidate places; there, the template is aligned with the text in a band around the
+diagonal. Matches that lie over each other compete, so that of the variants of a notice only the closest is given.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.kernels import LOWER, mix, pieces, span_hashes, utf8, word_spans
-from panelmill.llm.license_table import TEMPLATES
+from panelmill.llm.license_table import REQUIRED, TEMPLATES
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -26,20 +28,26 @@ IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 
 @dataclass(frozen=True)
 class Scan:
-    """``band`` is how far an alignment may leave its diagonal, in words; matches under ``least`` coverage are dropped."""
+    """``band`` is how far an alignment may leave its diagonal, in words; matches under ``least`` coverage are dropped.
+    Templates of fewer than ``short`` words have grams of ``short_gram`` words (or as many as they have)."""
 
     gram: int = 3
-    window: int = 3
+    window: int = 1
+    short: int = 16
+    short_gram: int = 2
     band: int = 8
     least: float = 0.8
 
 
 @dataclass
 class TemplateIndex:
-    """Word hashes of each template, and fingerprint -> (template, word) of all of them."""
+    """Word hashes of each template, the phrases (word hashes) that its matches must hold, the lengths of grams in use, and
+    fingerprint -> (template, word) of all templates."""
 
     names: list[str] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
+    phrases: list[list[list[int]]] = field(default_factory=list)
+    grams: set[int] = field(default_factory=set)
     places: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
 
 
@@ -64,16 +72,19 @@ def winnow(words: np.ndarray, cfg: Scan) -> tuple[np.ndarray, np.ndarray]:
     return grams[chosen], chosen
 
 
-def template_index(templates: Mapping[str, str], cfg: Scan) -> TemplateIndex:
+def template_index(templates: Mapping[str, str], cfg: Scan, required: Mapping[str, list[str]] | None = None) -> TemplateIndex:
     index = TemplateIndex()
     for name, text in templates.items():
         hashes, *_ = word_hashes(*utf8(pa.array([text])))
         if not len(hashes):
             continue
-        for print_, place in zip(*(x.tolist() for x in winnow(hashes, cfg))):
+        gram = min(cfg.short_gram if len(hashes) < cfg.short else cfg.gram, len(hashes))
+        for print_, place in zip(*(x.tolist() for x in winnow(hashes, replace(cfg, gram=gram)))):
             index.places[print_].append((len(index.names), place))
+        index.grams.add(gram)
         index.names.append(name)
         index.words.append(hashes)
+        index.phrases.append([word_hashes(*utf8(pa.array([p])))[0].tolist() for p in (required or {}).get(name, ())])
     return index
 
 
@@ -104,36 +115,53 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return best[0], -best[1] if best[0] else 0, best[2]
 
 
+def holds(words: list[int], phrase: list[int]) -> bool:
+    return any(words[i:i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
+
 def matches(words: np.ndarray, index: TemplateIndex, cfg: Scan, known: np.ndarray) -> list[tuple[int, float, int, int]]:
-    """(template, coverage, first word, last word + 1) of the notices in one text, without overlaps per template."""
-    prints, places = winnow(words, cfg)
-    hit = np.isin(prints, known)
+    """(template, coverage, first word, last word + 1) of the notices in one text.
+
+    Matches of one template do not overlap. Of two templates' matches that share more than half of the shorter one, that
+    with more matched words stays, then that with the greater coverage.
+    """
     near: dict[tuple[int, int], int] = {}
-    for print_, place in zip(prints[hit].tolist(), places[hit].tolist()):
-        for t, own in index.places[print_]:
-            near.setdefault((t, (place - own) // cfg.band), place - own)
+    for gram in sorted(index.grams):
+        prints, places = winnow(words, replace(cfg, gram=gram))
+        hit = known[np.minimum(np.searchsorted(known, prints), len(known) - 1)] == prints
+        for print_, place in zip(prints[hit].tolist(), places[hit].tolist()):
+            for t, own in index.places[print_]:
+                near.setdefault((t, (place - own) // cfg.band), place - own)
     found = []
     for (t, _), shift in sorted(near.items()):
-        template = index.words[t]
+        template, phrases = index.words[t], index.phrases[t]
         lo, hi = max(0, shift - cfg.band), min(len(words), shift + len(template) + cfg.band)
-        n, start, end = align(template, words[lo:hi].tolist(), shift - lo, cfg.band)
-        if n >= cfg.least * len(template):
-            found.append((t, n / len(template), lo + start, lo + end))
-    out: list[tuple[int, float, int, int]] = []
-    for m in sorted(found, key=lambda m: (m[0], -m[1], m[2])):
-        if all(o[0] != m[0] or m[3] <= o[2] or m[2] >= o[3] for o in out):
+        if hi - lo < cfg.least * len(template):
+            continue
+        part = words[lo:hi].tolist()
+        there = set(part)
+        if not all(there.issuperset(p) for p in phrases) or sum(w in there for w in template.tolist()) < cfg.least * len(template):
+            continue
+        n, start, end = align(template, part, shift - lo, cfg.band)
+        if n >= cfg.least * len(template) and all(holds(part[start:end], p) for p in phrases):
+            found.append((t, n / len(template), lo + start, lo + end, n))
+    out: list[tuple[int, float, int, int, int]] = []
+    for m in sorted(found, key=lambda m: (-m[4], -m[1], m[2], m[0])):
+        shared = [(o[0] == m[0], min(o[3], m[3]) - max(o[2], m[2]), min(o[3] - o[2], m[3] - m[2])) for o in out]
+        if not any(words > 0 and (same or 2 * words > least) for same, words, least in shared):
             out.append(m)
-    return sorted(out, key=lambda m: (m[2], m[3], m[0]))
+    return sorted((m[:4] for m in out), key=lambda m: (m[2], m[3], m[0]))
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, cfg: Scan = Scan(), piece_bytes: int = 1 << 21) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, cfg: Scan = Scan(), piece_bytes: int = 1 << 21,
+         required: Mapping[str, list[str]] | None = None) -> DataFrame:
     """doc_id, notices (array of license, coverage, start, end by start; code points, end exclusive) of every whole text.
 
-    Coverage is the share of the template's words that the alignment matches; templates without words are ignored. A
-    null or empty text has no notices. Rows keep their number and doc_id, null or repeated; other columns are ignored.
+    Coverage is the share of the template's words that the alignment matches; templates without words are ignored.
+    ``required`` are phrases that a match of one of the given ``templates`` must hold. A null or empty text has no notices. Rows keep their number and doc_id, null or repeated; other columns are ignored.
     The templates and their index go to every task; their size does not depend on the documents.
     """
-    index = template_index(TEMPLATES if templates is None else templates, cfg)
+    index = template_index(TEMPLATES, cfg, REQUIRED) if templates is None else template_index(templates, cfg, required)
     known = np.array(sorted(index.places), np.uint64)
     names = ("license", "coverage", "start", "end")
 

@@ -432,3 +432,23 @@ def test_random_letters_and_short_random_values_are_secrets(table):
     found = {r.doc_id for r in secret_scan.scan(docs).collect() if any(s.kind == "cred" for s in r.spans)}
     assert found & set(range(len(secrets + words))) == set(range(len(secrets)))
     assert sum(i >= len(secrets + words) for i in found) >= 0.99 * len(drawn)
+
+
+def test_short_notices_and_variants(table):
+    gpl, whole = license_scan.TEMPLATES["GPL-3.0-or-later"], license_scan.TEMPLATES["MIT"]
+    given = {
+        "Released under MIT License": ["MIT-notice"],
+        license_scan.TEMPLATES["CC-BY-SA-4.0-notice"]: ["CC-BY-SA-4.0-notice"],
+        license_scan.TEMPLATES["CC-BY-4.0-notice"]: ["CC-BY-4.0-notice"],
+        license_scan.TEMPLATES["CC-BY-4.0-notice"].replace("4.0", "3.0"): [],
+        gpl: ["GPL-3.0-or-later"],
+        gpl.replace("version 3", "version 2"): ["GPL-2.0-or-later"],
+        gpl.replace("version 3", "version 1"): [],
+        license_scan.TEMPLATES["Apache-2.0"]: ["Apache-2.0"],
+        f"before {whole} after": ["MIT"],
+        "Released under the MIT License. Licensed under CC BY-NC 4.0.": ["MIT-notice", "CC-BY-NC-4.0-notice"],
+    }
+    docs = table(list(enumerate(given)), "doc_id long, text string")
+    rows = {r.doc_id: r.notices for r in license_scan.scan(docs).collect()}
+    assert [[n.license for n in rows[i]] for i in range(len(given))] == list(given.values())
+    assert whole.endswith("DEALINGS IN THE SOFTWARE.") and rows[8][0].end == len(f"before {whole}") - 1
