@@ -21,6 +21,10 @@ from panelmill.llm.groups import map_groups
 from panelmill.llm.scratch import stored
 
 
+#: Sums of half distances that are ranked at once.
+RANKED = 1 << 22
+
+
 @dataclass(frozen=True)
 class MultiIndex:
     """The codebooks are fitted on at most ``2 * sample`` vectors chosen by a hash of their id. ``cell_rows`` is the
@@ -87,14 +91,29 @@ def nearest_cells(x: np.ndarray, grid: Grid, n: int) -> np.ndarray:
     inside = (i + 1) * (j + 1) <= n
     i, j = i[inside], j[inside]
     a, b = np.argsort(one, axis=1, kind="stable")[:, :n], np.argsort(two, axis=1, kind="stable")[:, :n]
-    total = np.take_along_axis(one, a, 1)[:, i] + np.take_along_axis(two, b, 1)[:, j]
-    order = np.argsort(total, axis=1, kind="stable")[:, :n]
-    return np.take_along_axis(a, i[order], 1) * k + np.take_along_axis(b, j[order], 1)
+    one, two = np.take_along_axis(one, a, 1), np.take_along_axis(two, b, 1)
+    out, step = np.empty((len(x), n), a.dtype), max(1, RANKED // len(i))
+    for lo in range(0, len(x), step):
+        part = slice(lo, lo + step)
+        order = np.argsort(one[part][:, i] + two[part][:, j], axis=1, kind="stable")[:, :n]
+        out[part] = np.take_along_axis(a[part], i[order], 1) * k + np.take_along_axis(b[part], j[order], 1)
+    return out
+
+
+def closer_cells(x: np.ndarray, cells: np.ndarray, grid: Grid) -> np.ndarray:
+    """How many other cells each unit vector visits before its given cell (or as early: sums within rounding are counted).
+
+    Counted from the sorted distances of either half, one vector at a time: memory grows with the codebooks, not the grid.
+    """
+    cut, k = grid.first.shape[1], len(grid.second)
+    one, two = _apart(x[:, :cut], grid.first), np.sort(_apart(x[:, cut:], grid.second), axis=1)
+    limit = (one[np.arange(len(x)), cells // k] + _apart(x[:, cut:], grid.second)[np.arange(len(x)), cells % k]) + 1e-12
+    return np.array([np.searchsorted(b, most - a, "right").sum() - 1 for a, b, most in zip(one, two, limit)], np.int64)
 
 
 def fit(vectors: np.ndarray, rows: int, cfg: MultiIndex) -> Grid:
     """Grid for ``rows`` vectors from a sample. The number of visits is what finds ``target_recall`` of the hardest
-    links: sampled vectors turned by exactly the threshold angle in random directions."""
+    links: vectors drawn from the sample and turned by exactly the threshold angle in random directions."""
     x, rng = unit(vectors), np.random.default_rng(cfg.seed)
     size = int(np.clip(round((rows / cfg.cell_rows) ** 0.5), 1, max(1, len(x) // 16)))
     cut = x.shape[1] // 2
@@ -102,11 +121,11 @@ def fit(vectors: np.ndarray, rows: int, cfg: MultiIndex) -> Grid:
     every = Grid(*books, size * size)
     if size == 1:
         return every
-    x = x[:1024]
+    x = x[rng.choice(len(x), min(len(x), 1024), replace=False)]
     aside = rng.standard_normal(x.shape)
     aside -= (aside * x).sum(axis=1, keepdims=True) * x
     y = cfg.threshold * x + (1 - cfg.threshold**2) ** 0.5 * unit(aside)
-    there = np.stack([(nearest_cells(a, every, size * size) == nearest_cells(b, every, 1)).argmax(axis=1) for a, b in ((x, y), (y, x))])
+    there = np.stack([closer_cells(a, nearest_cells(b, every, 1)[:, 0], every) for a, b in ((x, y), (y, x))])
     return Grid(*books, int(np.quantile(there.min(axis=0), cfg.target_recall, method="higher")) + 1)
 
 

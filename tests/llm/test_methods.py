@@ -6,6 +6,7 @@ import base64
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -452,3 +453,20 @@ def test_short_notices_and_variants(table):
     rows = {r.doc_id: r.notices for r in license_scan.scan(docs).collect()}
     assert [[n.license for n in rows[i]] for i in range(len(given))] == list(given.values())
     assert whole.endswith("DEALINGS IN THE SOFTWARE.") and rows[8][0].end == len(f"before {whole}") - 1
+
+
+def test_visits_are_fitted_in_little_memory_on_the_whole_sample():
+    rng = np.random.default_rng(5)
+    grid = embedding_dedup.Grid(rng.standard_normal((7, 3)), rng.standard_normal((5, 4)), 35)
+    x, cells = embedding_dedup.unit(rng.standard_normal((50, 7))), rng.integers(0, 35, 50)
+    order = embedding_dedup.nearest_cells(x, grid, 35)
+    assert np.array_equal(embedding_dedup.closer_cells(x, cells, grid), (order == cells[:, None]).argmax(axis=1))
+    tight = rng.standard_normal(16) + rng.standard_normal((1024, 16)) * 1e-4
+    loose, cfg = rng.standard_normal((3072, 16)), embedding_dedup.MultiIndex(rounds=2)
+    both = [embedding_dedup.fit(np.concatenate(parts), 64 * 128**2, cfg).visits for parts in ((tight, loose), (loose, tight))]
+    assert max(both) <= 1.5 * min(both)
+    tracemalloc.start()
+    embedding_dedup.fit(rng.standard_normal((4096, 16)), 64 * 256**2, cfg)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
