@@ -136,30 +136,50 @@ def classes(vectors: DataFrame) -> DataFrame:
         .groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
 
 
-def index(distinct: DataFrame, cfg: MultiIndex) -> tuple[DataFrame, int] | None:
-    """node, n, e (bytes of doubles), cell and visits of all vectors of the most frequent length, and the length."""
-    sizes = distinct.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("rows"))
-    main = sizes.orderBy(F.desc("rows"), "dim").first()
-    if main is None:
-        return None
-    rows = distinct.filter(F.size("embedding") == main["dim"])
-    part = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.filter(part < cfg.sample / main["rows"]).select("node", "embedding").limit(2 * cfg.sample).collect()
-    chosen = chosen or rows.select("node", "embedding").limit(cfg.sample).collect()
-    grid = fit(np.array([r["embedding"] for r in sorted(chosen)], np.float64), main["rows"], cfg)
+def grids(distinct: DataFrame, cfg: MultiIndex) -> dict[int, tuple[Grid, int]]:
+    """Grid and first cell number for the most frequent length and every length of more than two blocks of vectors."""
+    sizes = distinct.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "dim").collect()
+    out, cells = {}, 0
+    for i, size in enumerate(sizes):
+        if i and size["rows"] <= 2 * cfg.block:
+            break
+        rows = distinct.filter(F.size("embedding") == size["dim"])
+        part = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
+        chosen = rows.filter(part < cfg.sample / size["rows"]).select("node", "embedding").limit(2 * cfg.sample).collect()
+        chosen = chosen or rows.select("node", "embedding").limit(cfg.sample).collect()
+        grid = fit(np.array([r["embedding"] for r in sorted(chosen)], np.float64), size["rows"], cfg)
+        out[size["dim"]] = grid, cells
+        cells += len(grid.first) * len(grid.second)
+    return out
+
+
+def index(distinct: DataFrame, cfg: MultiIndex) -> DataFrame:
+    """node, n, e (bytes of doubles), cell and visits of all vectors.
+
+    A length without a grid is a single cell (of a negative number), in which all vectors are compared, in blocks.
+    """
+    found = grids(distinct, cfg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            cells = np.concatenate([nearest_cells(unit(x[i:i + 1024]), grid, grid.visits) for i in range(0, len(x), 1024)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("n"), pa.array([r.tobytes() for r in unit(x)], pa.binary()),
-                 pa.array(cells[:, 0].astype(np.int64)), pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64()))],
-                ["node", "n", "e", "cell", "visits"])
-    indexed = rows.select("node", "n", "embedding").mapInArrow(run, "node long, n long, e binary, cell long, visits array<long>")
-    return stored(indexed, "vector-index"), main["dim"]
+            size = np.diff(batch.column("embedding").offsets.to_numpy())
+            for dim in np.unique(size).tolist():
+                own = np.flatnonzero(size == dim)
+                for lo in range(0, len(own), 1024):
+                    part = batch.take(pa.array(own[lo:lo + 1024]))
+                    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                    x = unit(x)
+                    if dim in found:
+                        grid, first = found[dim]
+                        cells = nearest_cells(x, grid, grid.visits).astype(np.int64) + first
+                    else:
+                        cells = np.full((len(x), 1), -dim, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("node"), part.column("n"), pa.array([r.tobytes() for r in x], pa.binary()),
+                         pa.array(cells[:, 0].copy()), pa.array(list(cells), pa.list_(pa.int64()))],
+                        ["node", "n", "e", "cell", "visits"])
+    indexed = distinct.select("node", "n", "embedding").mapInArrow(run, "node long, n long, e binary, cell long, visits array<long>")
+    return stored(indexed, "vector-index")
 
 
 def in_cells(indexed: DataFrame, cfg: MultiIndex) -> DataFrame:
@@ -184,18 +204,18 @@ def in_cells(indexed: DataFrame, cfg: MultiIndex) -> DataFrame:
         .withColumn("block_v", F.explode(dealt(~F.col("resident"), F.col("_v")))).drop("_r", "_v"))
 
 
-def cell_links(indexed: DataFrame, dim: int, cfg: MultiIndex) -> DataFrame:
+def cell_links(indexed: DataFrame, cfg: MultiIndex) -> DataFrame:
     """node, links, root: links found for a vector in a cell, and the least vector it is connected with there."""
     def run(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, n, home = (table.column(c).to_numpy() for c in ("node", "n", "home"))
         resident = table.column("resident").to_numpy()
-        e = np.frombuffer(b"".join(table.column("e").to_pylist()), np.float64).reshape(-1, dim)
         visits, out = table.column("visits").combine_chunks(), []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
-            r, v = lo + np.flatnonzero(resident[lo:hi]), lo + np.flatnonzero(~resident[lo:hi])
+            r, v = np.flatnonzero(resident[lo:hi]), np.flatnonzero(~resident[lo:hi])
             if len(r) and len(v):
-                seen = np.stack(visits.take(pa.array(r)).to_numpy(zero_copy_only=False))
-                out += _compare(node, n, home, e, r, v, seen, cfg.threshold)
+                e = np.frombuffer(b"".join(table.column("e").slice(lo, hi - lo).to_pylist()), np.float64).reshape(hi - lo, -1)
+                seen = np.stack(visits.take(pa.array(lo + r)).to_numpy(zero_copy_only=False))
+                out += _compare(node[lo:hi], n[lo:hi], home[lo:hi], e, r, v, seen, cfg.threshold)
         columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else [(), (), ()])]
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["node", "links", "root"])
     rows = in_cells(indexed, cfg).select("cell", "block_r", "block_v", "resident", "node", "n", "home", "e", "visits")
@@ -231,15 +251,13 @@ def near_duplicates(vectors: DataFrame, cfg: MultiIndex = MultiIndex()) -> DataF
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding).
 
     Equal vectors are one node with a weight. Vectors that are null or zero or hold null or non-finite components,
-    and rows without vec_id, link with nothing (component_id is the vec_id). Vectors of another length than the
-    most frequent one link with equal vectors only. Other columns are ignored.
+    and rows without vec_id, link with nothing (component_id is the vec_id). Only vectors of equal length link; each
+    frequent length has its own grid, and vectors of rarer ones are all compared. Other columns are ignored.
     """
     table = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     distinct = stored(classes(table), "vector-classes")
-    found = index(distinct, cfg)
     links = distinct.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("root"))
-    if found:
-        links = links.unionAll(stored(cell_links(*found, cfg), "cell-links"))
+    links = links.unionAll(stored(cell_links(index(distinct, cfg), cfg), "cell-links"))
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = distinct.join(total, "node").join(joined, "node", "left").select(

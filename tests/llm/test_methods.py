@@ -470,3 +470,16 @@ def test_visits_are_fitted_in_little_memory_on_the_whole_sample():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 200e6
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_vectors_of_every_length_link(table, block):
+    rng, rows, cfg = np.random.default_rng(6), [], embedding_dedup.MultiIndex(cell_rows=64, block=block)
+    for dim, n in ((8, 60), (5, 40), (3, 9)):
+        x = rng.standard_normal((n, dim))
+        rows += [*x, *(3 * x + rng.standard_normal((n, dim)) * 0.05)]
+    near = np.array([[len(a) == len(b) and (embedding_dedup.unit(a[None]) @ embedding_dedup.unit(b[None]).T).item() >= 0.95 for b in rows] for a in rows])
+    np.fill_diagonal(near, False)
+    out = embedding_dedup.near_duplicates(table([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"), cfg).collect()
+    label = roots(len(rows), np.argwhere(np.triu(near)).tolist())
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (near[i].sum(), label[i]) for i in range(len(rows))}
