@@ -10,8 +10,9 @@
 3. In each family, documents are compared on their full shingle sets, and true links make the components.
 
 Buckets and families of any size are dealt to tasks in blocks (``groups.in_blocks``), and no step emits pairs.
-With the defaults, a pair at the threshold is missed with probability below 1e-4 (more than 19 of 50 symbols
-differ), a closer one with less; in a group of copies, other links usually connect such a pair as well.
+The number of chunks and errors follows from the similarity, so that a pair at the threshold is missed with
+probability below 1e-4 (at 85 %: more than 19 of 50 symbols differ, 1.6e-5; at 80 %: more than 27 of 70, 9.9e-05), a closer
+one with less; in a group of copies, other links usually connect such a pair as well.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +36,40 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
 
+def missed(similarity: int, symbols: int, distance: int) -> float:
+    """Probability that more than ``distance`` symbols of a pair of this similarity (percent) differ."""
+    p = 1 - similarity / 100
+    return sum(comb(symbols, k) * p**k * (1 - p)**(symbols - k) for k in range(distance + 1, symbols + 1))
+
+
 @dataclass(frozen=True)
 class NearDup:
-    """``similarity`` in percent; a bucket task holds about ``2 * block_rows`` signatures and a family task
+    """``similarity`` in percent; ``chunks`` and ``errors`` that are not given are the fewest errors, then the fewest chunks of
+    ten to forty, that miss a pair at the threshold with probability below ``miss``. A bucket task holds about ``2 * block_rows`` signatures and a family task
     about ``2 * block_shingles`` shingles (or two documents, if these are longer)."""
 
     shingle: int = 5
     similarity: int = 80
-    chunks: int = 10
+    chunks: int | None = None
     chunk_symbols: int = 5
-    errors: int = 1
+    errors: int | None = None
+    miss: float = 1e-4
     seed: int = 7
     block_rows: int = 20_000
     block_shingles: int = 2_000_000
     piece_bytes: int = 1 << 20
 
+    def __post_init__(self):
+        if self.chunks is None or self.errors is None:
+            fit = [(e, c) for e in (range(1, self.chunk_symbols) if self.errors is None else (self.errors,))
+                   for c in (range(10, 41) if self.chunks is None else (self.chunks,))
+                   if missed(self.similarity, c * self.chunk_symbols, c * (e + 1) - 1) < self.miss]
+            if not fit:
+                raise ValueError(f"no signature finds pairs of similarity {self.similarity} with a miss below {self.miss}")
+            errors, chunks = fit[0]
+            object.__setattr__(self, "chunks", chunks)
+            object.__setattr__(self, "errors", errors)
+
     @property
     def symbols(self) -> int:
         return self.chunks * self.chunk_symbols

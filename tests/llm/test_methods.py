@@ -483,3 +483,10 @@ def test_vectors_of_every_length_link(table, block):
     out = embedding_dedup.near_duplicates(table([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"), cfg).collect()
     label = roots(len(rows), np.argwhere(np.triu(near)).tolist())
     assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (near[i].sum(), label[i]) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("similarity", [20, 50, 70, 80, 85, 90, 95])
+def test_signatures_miss_few_pairs_at_the_threshold(similarity):
+    cfg, rng = minhash_dedup.NearDup(similarity=similarity), np.random.default_rng(4)
+    differ = rng.binomial(cfg.symbols, 1 - similarity / 100, 1_000_000)
+    assert (differ > cfg.max_distance).mean() < 1.3e-4
