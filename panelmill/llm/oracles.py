@@ -80,3 +80,91 @@ n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM vec LEFT JOIN n ON a = vec_id JOIN found ON node = vec_id
 """
+
+PREFIX_TRIE = """
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+head AS (
+  SELECT conv_id, turns, xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+  FROM own),
+built AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:h], o.turns[h + 1:]) AS seq
+  FROM head o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+prefix AS (
+  SELECT conv_id, d, seq[1:d] AS p, coalesce(strlen(seq[d].t), 0) AS bytes, d = len(seq) AS is_end
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM built)),
+node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE is_end), '')) AS ends_sha256
+  FROM prefix GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+flagged AS (SELECT node.*, coalesce(c.n, 0) AS n_children FROM node LEFT JOIN children c ON c.p = node.p),
+below AS (
+  SELECT p[1:a] AS p, sum((n - 1) * bytes) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM flagged) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM flagged f JOIN below b ON b.p = f.p LEFT JOIN flagged u ON f.d > 0 AND u.p = f.p[1:f.d - 1]
+"""
+
+MERKLE = """
+WITH doc AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WINDOW w AS (ORDER BY doc_id)),
+edit AS (
+  SELECT doc_id, text, next, length(text) AS n, CAST(floor(length(text) / 4) AS BIGINT) AS q FROM doc),
+texts AS (
+  SELECT doc_id, 'own' AS kind, text FROM doc
+  UNION ALL SELECT doc_id, 'next', next FROM doc
+  UNION ALL SELECT doc_id, 'edited', substring(text, 1, n - q) || substring(next, 1, q) FROM edit),
+lines AS (SELECT *, string_split(text, chr(10)) AS line FROM texts),
+hashed AS (
+  SELECT *, list_transform(line, lambda x: sha256('p:' || x)) AS ph,
+         list_distinct(flatten(list_transform(line, lambda x: regexp_extract_all(x, ' *(?:[^ ]{1,64} *){1,8}| +')))) AS pieces FROM lines),
+cut AS (
+  SELECT *, list_filter(range(1, len(line) + 1), lambda i: i = len(line) OR ph[i] < '2'
+                        OR trim(line[i], ' ' || chr(9) || chr(13)) = '') AS ends FROM hashed),
+sections AS (
+  SELECT *, list_transform(range(1, len(ends) + 1), lambda j: sha256('s:' || array_to_string(
+    ph[(CASE WHEN j = 1 THEN 1 ELSE ends[greatest(j - 1, 1)] + 1 END):ends[j]], ''))) AS sh FROM cut),
+tree AS (SELECT doc_id, kind, text, sha256('r:' || array_to_string(sh, '')) AS root, pieces FROM sections),
+near AS (
+  SELECT a.doc_id, b.kind, CASE WHEN a.root = b.root THEN 1.0::DOUBLE
+         WHEN len(a.pieces) + len(b.pieces) = 0 THEN 0.0::DOUBLE
+         ELSE len(list_intersect(a.pieces, b.pieces)) / (len(a.pieces) + len(b.pieces) - len(list_intersect(a.pieces, b.pieces)))::DOUBLE END AS near
+  FROM tree a JOIN tree b ON a.doc_id = b.doc_id WHERE a.kind = 'own' AND b.kind <> 'own')
+SELECT o.doc_id, length(o.text) AS n_chars, sha256(e.text) AS edited_sha256, o.root AS fingerprint, e.root AS edited_fingerprint,
+       ne.near AS near_edited, nn.near AS near_next
+FROM tree o JOIN tree e ON e.doc_id = o.doc_id AND e.kind = 'edited'
+JOIN near ne ON ne.doc_id = o.doc_id AND ne.kind = 'edited' JOIN near nn ON nn.doc_id = o.doc_id AND nn.kind = 'next'
+WHERE o.kind = 'own'
+"""
+
+COLLOCATIONS = f"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(p, '[^ \\t]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang),
+gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 30),
+candidate AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.j, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidate) c
+  JOIN gram l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN gram r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+around AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM candidate, (VALUES (2), (3)) t(m) WHERE m < k) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN total USING (lang) LEFT JOIN around USING (lang, phrase)
+WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""

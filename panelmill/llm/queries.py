@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import arrow_output, bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, oracles, pii_crf, secret_scan
+from panelmill.llm import (
+    arrow_output, bpe, collocations, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, merkle, minhash_dedup, oracles,
+    pii_crf, prefix_trie, secret_scan,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +91,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), collocations.Mining(min_count=30, inside_percent=80, top=2000))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -99,10 +114,16 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_collocations": op11_collocations,
+    "op12_merkle": op12_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL: dict[str, str] = {
     "op3_embedding_dedup": oracles.VECTOR_DUPLICATES,
     "op5_minhash_dedup": oracles.NEAR_DUPLICATES,
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_decontaminate": oracles.CONTAMINATION,
+    "op11_collocations": oracles.COLLOCATIONS,
+    "op12_merkle": oracles.MERKLE,
+    "op13_prefix_trie": oracles.PREFIX_TRIE,
 }

@@ -8,7 +8,7 @@ import corpus_pipeline
 from conftest import as_dicts
 from odd_tables import no_docs, odd_docs, table  # noqa: F401
 from panelmill.llm import (
-    arrow_output, bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, pii_crf, secret_scan,
+    arrow_output, bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, merkle, minhash_dedup, pii_crf, secret_scan,
 )
 from panelmill.llm.queries import tokenizer_file
 
@@ -21,6 +21,7 @@ PER_ROW = {
     "arrow": lambda docs: arrow_output.encode_and_check(docs, MODEL),
     "lines": line_dedup.without_repeated_lines,
     "secrets": secret_scan.scan,
+    "merkle": merkle.fingerprints,
     "bpe": lambda docs: bpe.round_trip(docs, RANKS),
 }
 

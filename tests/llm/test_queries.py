@@ -11,7 +11,7 @@ from panelmill.llm.queries import QUERIES, SQL
 from panelmill.llm.scratch import stored
 
 SF_DIR = "/root/testdata/sf0.001"
-NATIVE = ("op7_line_dedup", "op8_decontaminate")
+NATIVE = ("op7_line_dedup", "op8_decontaminate", "op12_merkle")
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(SQL) <= set(contract.oracle_sql())
 
