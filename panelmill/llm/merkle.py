@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.llm.scratch import stored
+
 PIECE = " *(?:[^ ]{1,64} *){1,8}| +"
 LEAST_ID = -(1 << 63)
 
@@ -59,8 +61,8 @@ def changed_paragraphs(before: DataFrame, after: DataFrame) -> DataFrame:
     for a section; only paragraphs of differing sections are compared. Documents that only ``after`` has are new in all
     their paragraphs.
     """
-    trees = [with_tree(df.select("doc_id", "text"), "text") for df in (before, after)]
-    # _outer, though none is empty: for the others Spark infers a filter and copies the whole tree into its lambdas
+    trees = [stored(with_tree(df.select("doc_id", "text"), "text").select("doc_id", "root", "sections", "paragraphs"), "tree") for df in (before, after)]
+    # written first: Spark would push the anti-joins below the trees and copy whole trees into their lambdas
     old, new = (t.select("doc_id", "root", "paragraphs", F.posexplode_outer("sections").alias("at", "s"))
                 .select("doc_id", "root", (F.col("at") + 1).alias("section"), F.col("s.hash").alias("hash"), F.col("s.first").alias("first"),
                         F.slice("paragraphs", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1).alias("paragraphs")) for t in trees)
