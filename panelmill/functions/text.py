@@ -35,10 +35,10 @@ def ascii_table() -> tuple[str, str]:
 def latin_ascii(text: Column) -> Column:
     """Latin text with every letter replaced by its plain ASCII form; text of single bytes stays as it is.
 
-    A mark of its own after a letter, as in decomposed text, goes.
+    Marks of their own after a letter, as in decomposed text, go, however many there are.
     """
     source, target = ascii_table()
-    plain = F.regexp_replace(F.translate(text, source, target), r"(?<=[A-Za-z]\p{Mn}{0,8})\p{Mn}", "")
+    plain = F.regexp_replace(F.translate(text, source, target), r"([A-Za-z])\p{Mn}+", "$1")
     for letter, expansion in EXPANDED.items():
         plain = F.replace(plain, F.lit(letter), F.lit(expansion))
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain)

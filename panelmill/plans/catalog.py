@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelmill.plans import benchmark_queries, quality_queries, return_queries, station_queries
+from panelmill.plans import benchmark_queries, quality_queries, return_queries, staged_queries, station_queries
 from panelmill.plans.common import Entry
 
 CATALOG: dict[str, Entry] = {
@@ -10,4 +10,5 @@ CATALOG: dict[str, Entry] = {
     **return_queries.QUERIES,
     **benchmark_queries.QUERIES,
     **station_queries.QUERIES,
+    **staged_queries.QUERIES,
 }
