@@ -8,6 +8,7 @@ read as a view of the mapped file. The index, a Parquet table, says for each doc
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmill.llm.pretokens import PieceEncoder
@@ -26,12 +27,18 @@ from panelmill.llm.scratch import new_path, stored
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI that the executors share; a plain path or file: is a mounted folder."""
+    """File system and path of a URI that the executors share, see ``qualified``; file: is a mounted folder."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark takes it for; a path alone may be on a shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 @dataclass(frozen=True)
 class Layout:
     seq_len: int = 2048
@@ -103,6 +110,11 @@ class SequenceFile:
         self.file, self.layout = pa.ipc.open_file(self.source), layout
         self._batch = lru_cache(maxsize=2)(self.file.get_batch)
 
+    def close(self) -> None:
+        """Views of its rows are not to be read any more."""
+        self._batch.cache_clear()
+        self.source.close()
+
     def rows(self, batch: int) -> tuple[np.ndarray, pa.Array]:
         """(ids as a two-dimensional view without copying, masks) of a record batch."""
         b = self._batch(batch)
@@ -124,12 +136,21 @@ class SequenceFile:
 
 
 class PieceModel:
-    """Encodes pieces of text with the library's model, by its table from bytes to letters."""
+    """Encodes pieces of text with the library's model, by its table from bytes to letters.
+
+    As the library does by default, the file's added tokens are found in a text first, the longest of those that begin
+    at one place, and stand for their ids; ``cut`` gives the texts between them.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take blanks or whole words are not supported")
+        self.added = {t.content: i for i, t in added.items()}
+        either = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.finds = re.compile(f"({'|'.join(either)})") if either else None
         self.model, self.size = self.tokenizer.model, self.tokenizer.get_vocab_size()
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -141,6 +162,19 @@ class PieceModel:
         sizes = np.array([len(x) for x in found], np.int64)
         return np.array([i for x in found for i in x], np.uint32), sizes
 
+    def cut(self, text: str) -> list[str]:
+        """Texts and added tokens in turn, a text first and last; mostly the whole text alone."""
+        return self.finds.split(text) if self.finds else [text]
+
+
+def encoded(texts: list[str], model: PieceModel, encoder: PieceEncoder) -> Iterator[np.ndarray]:
+    """The ids of each text in turn."""
+    cuts = [model.cut(text) for text in texts]
+    parts = encoder([part for cut in cuts for part in cut[::2]])
+    for cut in cuts:
+        ids = [next(parts) if i % 2 == 0 else np.array([model.added[part]], encoder.dtype) for i, part in enumerate(cut)]
+        yield ids[0] if len(ids) == 1 else np.concatenate(ids)
+
 
 @lru_cache(maxsize=1)
 def _model(path: str) -> PieceModel:
@@ -153,6 +187,8 @@ def write_sequences(docs: DataFrame, tokenizer_file: str, folder: str, layout: L
     Files of tasks that failed or ran twice are not in the index and may be deleted. Rows with a null doc_id come
     first; rows of one doc_id are ordered by a hash of their text. A null or empty text has the end id alone.
     """
+    folder = qualified(docs.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(tokenizer_file)
         if model.size > np.iinfo(layout.dtype).max + 1:
@@ -161,7 +197,7 @@ def write_sequences(docs: DataFrame, tokenizer_file: str, folder: str, layout: L
         end, writer = np.array([layout.end_id], layout.dtype), None
         for batch in batches:
             first, size = [], []
-            for ids in encoder(batch.column("text").fill_null("").to_pylist()):
+            for ids in encoded(batch.column("text").fill_null("").to_pylist(), model, encoder):
                 writer = writer or SequenceWriter(folder, f"part-{shard:06d}-{uuid.uuid4().hex}.arrow", layout)
                 whole = np.concatenate([ids, end])
                 first.append(writer.add(whole))
@@ -193,12 +229,18 @@ def _ranges(batch: pa.RecordBatch, folder: str, layout: Layout) -> Iterator[np.n
     name, file = None, None
     for which, first, n in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "n_tokens"))):
         if which != name:
+            if file:
+                file.close()
             name, file = which, SequenceFile(folder, which, layout)
         yield file.ids(first, n).astype("<u4")
+    if file:
+        file.close()
 
 
 def read_documents(index: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) of the index's rows, read from the files."""
+    folder = qualified(index.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = pa.array([x.tobytes() for x in _ranges(batch, folder, layout)], pa.binary())
@@ -208,7 +250,7 @@ def read_documents(index: DataFrame, folder: str, layout: Layout = Layout()) ->
 
 def read_checksums(index: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers, read from the files)."""
-    names = ["doc_id", "shard", "first", "n_tokens"]
+    names, folder = ["doc_id", "shard", "first", "n_tokens"], qualified(index.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from panelmill.llm.kernels import LOWER, pieces, span_hashes, utf8, word_spans
 from panelmill.llm.pii_table import labelled_rows
+from panelmill.llm.spans import apart_from
 
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE_KINDS = KINDS[:4]
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# Runs are taken whole, matched or not (group 1), so that a long run is read once and not again from each of its places.
+EMAIL = re.compile(r"([A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)|[A-Za-z0-9._%+-]++")
+IP = re.compile(r"([0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++))|[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -39,6 +41,7 @@ KIND_OF = np.arange(256, dtype=np.int64)
 KIND_OF[ord("a"):ord("z") + 1], KIND_OF[ord("A"):ord("Z") + 1] = ord("a"), ord("A")
 KIND_OF[ord("0"):ord("9") + 1], KIND_OF[128:] = ord("9"), ord("a")
 PLAIN = np.uint64(0)
+ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def luhn(digits: str) -> bool:
@@ -49,13 +52,20 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_byte(digits: str) -> bool:
+    """At most 255, for a number of any length."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by start and then kind as listed."""
     found = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text) if m[1]]
     if DIGIT.search(text):
-        found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        if "." in text:
+            found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if m[1] and all(map(is_byte, m[1].split(".")))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -134,13 +144,16 @@ def _shape_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def features(word: str) -> list[str]:
-    """Features of a word without outer signs, from its shape alone (and which keyword it is)."""
-    if word.lower() in KEYWORDS:
-        return ["bias", f"key={word.lower()}"]
+    """Features of a word without outer signs, from what ``_shape_keys`` hashes alone: words of one key have the same
+    features, so a span does not depend on which of them a task meets first."""
+    low = word.translate(ASCII_LOWER)
+    if low in KEYWORDS:
+        return ["bias", f"key={low}"]
     shape = re.sub(r"[0-9]+", lambda m: f"9{{{min(len(m[0]), 20)}}}", re.sub(r"[A-Z]+", "A", re.sub(r"(?:[a-z]|[^\x00-\x7f])+", "a", word)))
     if re.fullmatch(r"[aA]*", shape) and word:
         return ["bias", "plain"]
-    digits, letters = len(DIGIT.findall(word)), sum(c.isalpha() for c in word)
+    shape = re.sub(r"([^aA9])\1{20,}", lambda m: m[0][:20], shape)
+    digits, letters = sum(min(len(m), 20) for m in re.findall("[0-9]+", word)), len(re.findall("[aA]", shape))
     return ["bias", f"shape={shape}", f"runs={re.sub('{[0-9]+}', '', shape)}", f"digits={min(digits, 20)}",
             f"letters={min(letters, 3)}", f"mixed={digits > 0}{letters > 0}{'@' in word}", f"dots={min(word.count('.'), 4)}{'@' in word}",
             f"dashes={min(word.count('-'), 4)}", f"first={shape[:1]}", f"last={shape[-1:].replace('}', '9')}"]
@@ -353,7 +366,7 @@ def find(docs: DataFrame, model: Field | None = None, piece_bytes: int = 1 << 21
             base, every = [], []
             for i, text in enumerate(column.to_pylist()):
                 own = base_spans(text)
-                more = [s for s in added.get(i, ()) if all(s[1] <= o[0] or s[0] >= o[1] for o in own)]
+                more = apart_from(added.get(i, []), own)
                 base.append([dict(zip(("start", "end", "kind"), s)) for s in own])
                 every.append([dict(zip(("start", "end", "kind"), s)) for s in sorted(own + more, key=_order)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, shape), pa.array(every, shape)], ["doc_id", "base", "spans"])

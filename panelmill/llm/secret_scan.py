@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.bpe import read_ranks
+from panelmill.llm.spans import apart_from
 
 KINDS = ("assign", "access", "hex", "cred")
 BASE_KINDS = KINDS[:3]
@@ -196,7 +197,7 @@ def scan(docs: DataFrame, least: float = LEAST, common: Sequence[str] | None = N
             base, every = [], []
             for text in batch.column("text").fill_null("").to_pylist():
                 own = base_spans(text)
-                more = [s for s in costly_values(text, words, least) if all(s[1] <= o[0] or s[0] >= o[1] for o in own)]
+                more = apart_from(costly_values(text, words, least), own)
                 base.append([dict(zip(names, (*s, None))) for s in own])
                 every.append([dict(zip(names, (*s, None)[:4])) for s in sorted(own + more, key=_order)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, shape), pa.array(every, shape)], ["doc_id", "base", "spans"])

@@ -319,8 +319,8 @@ def test_ids_and_bytes_as_tables(spark, table, library):
 def test_sequences_are_read_back(spark, table, tmp_path):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    given = given_texts(spark)
+    end = "<|endoftext|>"  # an added token: an id of its own, as the library does by default
+    given = [*given_texts(spark), end, f"{end}{end} a", f"a {end} b", f"a{end}", f"  {end}\n{end[:-1]}", f"x{end} y " * 30]
     expected = [[*e.ids, 0] for e in tokenizer.encode_batch(given, add_special_tokens=False)]
     docs = table([(3 * i, t) for i, t in enumerate(given)], "doc_id long, text string")
     layout = arrow_output.Layout(seq_len=16, rows_per_batch=4)
