@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from panelmill.llm.components import components
 from panelmill.llm.groups import in_blocks, map_groups, spanning_forest
 from panelmill.llm.kernels import LOWER, mix, pieces, span_hashes, utf8, word_spans
+from panelmill.llm.native_text import text_id
 from panelmill.llm.scratch import stored
 
 IS_WORD = np.ones(256, bool)
@@ -127,7 +128,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, cfg: NearDup) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (hash of the word sequence), sig (binary; empty without words)."""
+    """doc_id, tid (hash of the text), n_shingles, h1, h2 (hash of the word sequence), sig (binary; empty without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = cfg.hash_rows()
         for batch in batches:
@@ -138,11 +139,28 @@ def signatures(docs: DataFrame, cfg: NearDup) -> DataFrame:
                 twos.append(two)
                 sigs.append(signature(shingles, a, b).tobytes() if len(shingles) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()),
+                [batch.column("doc_id"), batch.column("tid"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()),
                  pa.array(twos, pa.int64()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "sig"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+                ["doc_id", "tid", "n_shingles", "h1", "h2", "sig"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("tid"), "text").mapInArrow(
+        run, "doc_id long, tid long, n_shingles long, h1 long, h2 long, sig binary")
+
+
+def text_classes(sigs: DataFrame) -> DataFrame:
+    """One row per word sequence: node, doc_id (the smallest), tid (of one of that id's texts), n_shingles, sig, h1, h2.
+
+    ``node`` is a number of 64 bits of the sequence alone, so rows that share a doc_id and not their words are never taken
+    for one. The numbers are looked over, and drawn again in the unlikely case that two sequences get the same.
+    """
+    classes = stored(
+        sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
+        .agg(F.min(F.struct("doc_id", "tid")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .select("h1", "h2", "first.doc_id", "first.tid", "n_shingles", "sig"), "classes")
+    for seed in range(8):
+        node = F.xxhash64(F.lit(seed), "h1", "h2")
+        if classes.groupBy(node.alias("node")).count().filter("count > 1").isEmpty():
+            return classes.withColumn("node", node)
+    raise RuntimeError("word sequences got the same number again and again")
 
 
 def chunk_keys(heads: DataFrame, cfg: NearDup) -> DataFrame:
@@ -201,10 +219,11 @@ def family_edges(heads: DataFrame, cfg: NearDup) -> DataFrame:
 def set_links(members: DataFrame, texts: DataFrame, cfg: NearDup) -> DataFrame:
     """Edges (a, b) that connect all members of a family whose full sets are similar enough.
 
-    ``members`` has family, node and n_shingles, ``texts`` node and text; the sets are made in the task.
+    ``members`` has family, node, n_shingles, and doc_id and tid of one of its texts, ``texts`` doc_id, tid and text;
+    the sets are made in the task.
     """
     blocks = in_blocks(members, "family", "node", F.col("n_shingles"), cfg.block_shingles)
-    blocks = texts.join(blocks.hint("shuffle_hash"), "node")  # grows with the corpus: not to be broadcast
+    blocks = texts.join(blocks.hint("shuffle_hash"), ["doc_id", "tid"])  # grows with the corpus: not to be broadcast
 
     def run(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, a, b = table.column("node").to_numpy(), [], []
@@ -251,26 +270,39 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that share a doc_id are each judged
-    by their own text. A row without doc_id can't name a component: it links with nothing, has a null
+    by their own text: a group is one of word sequences, and its component_id the smallest doc_id of their rows. A row without doc_id can't name a component: it links with nothing, has a null
     component and is kept. Other columns are ignored.
     """
+    return _judged(docs, cfg).drop("tid")
+
+
+def _judged(docs: DataFrame, cfg: NearDup) -> DataFrame:
+    """``near_duplicates`` with tid, which tells the rows of one doc_id apart by their text."""
     sigs = stored(signatures(docs, cfg), "signatures")
-    classes = stored(
-        sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    classes = text_classes(sigs)
     family = components(family_edges(classes, cfg)).withColumnsRenamed({"component": "family"})
     family = family.unionAll(family.select(F.col("family").alias("node"), "family").distinct())
-    members = stored(classes.join(family, "node").select("family", "node", "n_shingles"), "members")
-    found = components(set_links(members, docs.select(F.col("doc_id").cast("long").alias("node"), "text"), cfg))
-    named = classes.select("h1", "h2", "node").join(found, "node", "left").select(
-        "h1", "h2", F.coalesce("component", "node").alias("component"))
+    members = stored(classes.join(family, "node").select("family", "node", "doc_id", "tid", "n_shingles"), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("tid"), "text")
+    found = components(set_links(members, texts, cfg))
+    found = found.unionAll(found.select(F.col("component").alias("node"), "component").distinct())
+    linked = stored(classes.join(found, "node").select("h1", "h2", "doc_id", F.col("component").alias("group")), "linked")
+    least = linked.groupBy("group").agg(F.min("doc_id").alias("component"))
+    named = classes.select("h1", "h2", "doc_id").join(
+        linked.join(least, "group").select("h1", "h2", "component"), ["h1", "h2"], "left").select(
+        "h1", "h2", F.coalesce("component", "doc_id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return sigs.join(named, ["h1", "h2"], "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "tid")
 
 
 def one_of_each(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
-    """Rows of ``docs`` (columns as they are) but for near-duplicates of a document with a smaller doc_id."""
-    gone = near_duplicates(docs, cfg).filter("not kept").select(F.col("doc_id").alias("_nd_doc")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_nd_doc"), "left_anti")
+    """Rows of ``docs`` (columns as they are) but for near-duplicates of a document with a smaller doc_id.
+
+    Of rows that share a doc_id, each stays or goes by its own text.
+    """
+    gone = _judged(docs, cfg).filter("not kept").select(F.col("doc_id").alias("_nd_doc"), F.col("tid").alias("_nd_tid")).distinct()
+    return docs.join(
+        gone.hint("shuffle_hash"),
+        (F.col("doc_id").cast("long") == F.col("_nd_doc")) & (text_id(F.col("text")) == F.col("_nd_tid")), "left_anti")
