@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelmill.functions.numeric import simple_return
-from panelmill.operators import benchmark, compare, pickers
+from panelmill.operators import benchmark, compare, cube, pickers, rules
 from panelmill.operators.segments import running
+from panelmill.plans import benchmark_queries as bq
+from panelmill.plans import quality_queries as qq
 from panelmill.plans.benchmark_queries import REGIONS, TYPES, _choices_sql, _pickable
 from panelmill.plans.common import Entry, rounded, with_views
 from panelmill.plans.views import FUND_DAILY_SQL, FUND_MONTHLY_SQL, fund_daily
@@ -65,7 +67,28 @@ def _picker(column: str, q: compare.Comparison | None = None):
     return lambda s, d: pickers.choices(_index(s, d), column, q)
 
 
+def _from_cube(q: compare.Comparison, metric: str, alias: str | None = None):
+    """The returns summed up once, and a comparison read from the smallest cuboid that has its columns."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = new_path(spark, "cube")
+        cube.write_cube(bq._returns(spark, d), path)
+        out = rounded(cube.compare_from_cube(spark, path, q, metric, alias), "avg_monthly_gain")
+        return rounded(out, alias or metric, digits=bq.METRIC_DIGITS[metric])
+    return run
+
+
+def _by_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The overrides, which are for whole names, as rows; the last of them wins, so positions run backwards."""
+    plain = [o._replace(pattern=o.pattern.removeprefix("^").removesuffix(" ?$")) for o in qq._OVERRIDES]
+    table = spark.createDataFrame([(-i, o.pattern, True, o.code, o.name, o.kind) for i, o in enumerate(plain)], rules.RULES)
+    return rules.conform_by_rules(qq._companies(spark, d), qq._named_funds(spark, d), table, dropped=("C4", "C9"), recoded={"C14": "CX"})
+
+
 QUERIES = {
+    "compare_growth_cube": Entry(_from_cube(bq.BY_TYPE, "growth_rate", "cumulative_change"), bq.QUERIES["compare_growth"].sql),
+    "compare_risk_cube": Entry(_from_cube(bq.BY_NAME, "stdev"), bq.QUERIES["compare_risk"].sql),
+    "compare_companies_cube": Entry(_from_cube(bq.BY_COMPANY_LIST, "growth_rate"), bq.QUERIES["compare_companies"].sql),
+    "conform_companies_by_rules": Entry(_by_rules, qq.QUERIES["conform_companies"].sql),
     "staged_days": Entry(_staged_days, with_views(
         f"SELECT * FROM fund_daily WHERE date BETWEEN DATE '{READ_FROM}' AND DATE '{READ_TO}'", FUND_DAILY_SQL)),
     "monthly_close_by_days": Entry(_closes_by_days, with_views("SELECT * FROM fund_monthly", FUND_MONTHLY_SQL)),
