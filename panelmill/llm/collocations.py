@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from panelmill.llm.kernels import LOWER, mix, pieces, span_hashes, utf8, word_spans
 from panelmill.llm.scratch import stored
 
-CHUNK_BYTES = 1 << 22
-HELD = 1 << 21
+CHUNK_BYTES = 1 << 20
+HELD = 1 << 20
 ROW_COUNTERS = 1 << 13
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _IS_BREAK = np.isin(np.arange(256), list(BREAKS))
