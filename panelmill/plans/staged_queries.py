@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelmill import schema
 from panelmill.functions.numeric import simple_return
-from panelmill.operators import benchmark, compare, cube, pickers, rules
+from panelmill.operators import benchmark, compare, cube, pickers, rules, sketches
+from panelmill.operators.consolidate import consolidate_daily
 from panelmill.operators.segments import running
 from panelmill.plans import benchmark_queries as bq
 from panelmill.plans import quality_queries as qq
 from panelmill.plans.benchmark_queries import REGIONS, TYPES, _choices_sql, _pickable
 from panelmill.plans.common import Entry, rounded, with_views
-from panelmill.plans.views import FUND_DAILY_SQL, FUND_MONTHLY_SQL, fund_daily
+from panelmill.plans.views import (
+    FUND_DAILY_SQL, FUND_MONTHLY_SQL, RAW_QUOTES_SQL, allocations, entities, fund_daily, raw_quotes,
+)
+from panelmill.sources import workbooks
 from panelmill.sources.closes import MonthCloses, closes_schema
 from panelmill.sources.shared import new_path
 from panelmill.sources.versioned import VersionedTable
@@ -21,6 +28,9 @@ from panelmill.sources.versioned import VersionedTable
 BULK_BEFORE, LATE_DAY = "2000-06-01", "2000-01-17"
 NEW_DAYS = ("2000-06-01", "2000-06-02", "2000-06-03", "2000-06-04", "2000-06-05")
 READ_FROM, READ_TO = "1999-12-01", "2000-06-04"
+PROFILE_RANGES = (("1992-01-01", "2001-12-31"), ("1995-01-01", "1995-12-31"), ("1998-03-05", "1998-03-11"))
+QUARTILES, BINS = (0.25, 0.5, 0.75), 10
+PRICE_HEADINGS = {name: heading for heading, name in schema.PRICE_NAMES.items()} | {"fund_type": "sheet"}
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -84,7 +94,73 @@ def _by_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.conform_by_rules(qq._companies(spark, d), qq._named_funds(spark, d), table, dropped=("C4", "C9"), recoded={"C14": "CX"})
 
 
+def _profile_by_days(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of ranges of days from stored day profiles. Estimates vary within their error, so the result says whether
+    each keeps within twice the stated rank error, and five standard deviations of the codes, of the raw rows."""
+    quotes = raw_quotes(spark, d)
+    profiles = _written(sketches.day_profiles(quotes), "profiles")
+    return reduce(DataFrame.unionByName, [_range_checked(quotes, profiles, *days) for days in PROFILE_RANGES])
+
+
+def _range_checked(quotes: DataFrame, profiles: DataFrame, start: str, end: str) -> DataFrame:
+    merged = _written(sketches.merged_profile(profiles, start, end, quantiles=QUARTILES), "merged")
+    found = merged.select("quantiles").scalar()
+    at = [F.get(found, F.lit(i)) for i in range(len(QUARTILES))]
+    rows = quotes.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    exact = rows.agg(
+        F.count_distinct("code").alias("codes"), F.count("price").alias("values"),
+        *[F.count_if(F.col("price") < v).alias(f"below_{i}") for i, v in enumerate(at)],
+        *[F.count_if(F.col("price") <= v).alias(f"up_to_{i}") for i, v in enumerate(at)])
+    ranks = [sketches.within(F.lit(q), 2 * sketches.rank_error(), f"below_{i}", f"up_to_{i}") for i, q in enumerate(QUARTILES)]
+    checked = exact.select(F.struct(F.col("codes").alias("codes"), reduce(Column.__and__, ranks).alias("ok"))).scalar()
+    apart = F.abs(F.col("codes") - checked["codes"]) <= checked["codes"] * sketches.distinct_error(deviations=5)
+    return merged.select(
+        F.lit(start).alias("first_day"), F.lit(end).alias("last_day"), "rows", "null_code", "null_name", "null_price", "null_shares",
+        "null_category", "zero_or_missing", "values", apart.alias("codes_within"), checked["ok"].alias("quartiles_within"))
+
+
+def _quantile_hist(spark: SparkSession, d: str) -> DataFrame:
+    """Bins of equally many rows from rank summaries by day: rows in all bins, and whether each edge keeps within twice
+    the stated rank error."""
+    panel = fund_daily(spark, d).select("date", "contribution", "total_value")
+    days = _written(sketches.rank_summaries(panel, "total_value", ["date", "contribution"]), "summaries")
+    edges = _written(sketches.quantile_edges(sketches.merged_summaries(days, ["contribution"]), ["contribution"], BINS), "edges")
+    bins = sketches.quantile_histogram(panel, "total_value", edges, "contribution")
+    counts = bins.groupBy("contribution").agg(F.sum("count").alias("rows_in_bins"))
+    ranks = sketches.edge_ranks(panel, "total_value", edges, "contribution", BINS + 1)
+    near = ranks.groupBy("contribution").agg(
+        F.any_value("values").alias("values"),
+        F.every(sketches.within(F.col("edge") / BINS, 2 * sketches.rank_error())).alias("edges_within"))
+    return near.join(counts, "contribution")
+
+
+def _consolidate_workbooks(spark: SparkSession, d: str) -> DataFrame:
+    """Prices and allocations written as workbooks with a sheet per fund type, read back and consolidated."""
+    panel = fund_daily(spark, d).select(*[F.col(c).alias(h) for c, h in PRICE_HEADINGS.items()])
+    prices = workbooks.read_price_workbooks(_written(workbooks.to_workbooks(panel, "sheet"), "prices"))
+    shares = allocations(spark, d).withColumnRenamed("fund_type", "sheet")
+    kind = T.StructType([f for f in shares.schema if f.name != "sheet"])
+    read = workbooks.read_workbooks(_written(workbooks.to_workbooks(shares, "sheet"), "allocations"), kind)
+    return consolidate_daily(
+        prices.withColumn("people", F.col("people").cast("long")).drop("path", workbooks.BAD_CELLS),
+        read.withColumnRenamed("sheet", "fund_type").drop("path", workbooks.BAD_CELLS),
+        entities(spark, d).select("code", "category"))
+
+
+def _profile_sql(start: str, end: str) -> str:
+    counts = ", ".join(f"COUNT(*) FILTER ({c} IS NULL) AS null_{c}" for c in sketches.PROFILED)
+    return f"""SELECT '{start}' AS first_day, '{end}' AS last_day, COUNT(*) AS rows, {counts},
+      COUNT(*) FILTER (price IS NULL OR shares IS NULL OR price = 0 OR shares = 0) AS zero_or_missing, COUNT(price) AS values,
+      TRUE AS codes_within, TRUE AS quartiles_within FROM raw_quotes WHERE date BETWEEN DATE '{start}' AND DATE '{end}'"""
+
+
 QUERIES = {
+    "consolidate_from_workbooks": Entry(_consolidate_workbooks, qq.QUERIES["consolidate_daily"].sql),
+    "profile_by_days": Entry(_profile_by_days, with_views(
+        " UNION ALL ".join(_profile_sql(*days) for days in PROFILE_RANGES), RAW_QUOTES_SQL)),
+    "valuation_quantile_hist": Entry(_quantile_hist, with_views(
+        """SELECT contribution, COUNT(total_value) AS values, CAST(COUNT(total_value) AS BIGINT) AS rows_in_bins, TRUE AS edges_within
+        FROM fund_daily GROUP BY contribution""", FUND_DAILY_SQL)),
     "compare_growth_cube": Entry(_from_cube(bq.BY_TYPE, "growth_rate", "cumulative_change"), bq.QUERIES["compare_growth"].sql),
     "compare_risk_cube": Entry(_from_cube(bq.BY_NAME, "stdev"), bq.QUERIES["compare_risk"].sql),
     "compare_companies_cube": Entry(_from_cube(bq.BY_COMPANY_LIST, "growth_rate"), bq.QUERIES["compare_companies"].sql),
