@@ -48,19 +48,27 @@ _BSD_WARRANTY = (
     "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
 _GNU = (
     "This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the "
-    "Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is "
+    "Free Software Foundation, {choice}. This {what} is "
     "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
     "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.")
 
 
-def _gnu(name: str, version: str, what: str = "program") -> str:
-    return _GNU.format(name=f"GNU {name}General Public License", version=version, what=what)
+def _gnu(name: str, version: str, what: str = "program", later: bool = True) -> str:
+    choice = f"either version {version} of the License, or (at your option) any later version" if later else f"version {version} of the License"
+    return _GNU.format(name=f"GNU {name}General Public License", choice=choice, what=what)
 
 
 _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
        "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 
+#: Identifiers of the SPDX list, as source files state them in one line.
+SPDX = (
+    "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Apache-2.0", "MPL-2.0", "Unlicense", "CC0-1.0",
+    *(f"{k}-{end}" for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("only", "or-later")),
+    *(f"CC-{k}-4.0" for k in _CC))
+
 TEMPLATES = {
+    **{f"SPDX-{k}": f"SPDX-License-Identifier: {k}" for k in SPDX},
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
@@ -95,6 +103,8 @@ TEMPLATES = {
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
         "specific language governing permissions and limitations under the License."),
+    "GPL-2.0-only": _gnu("", "2", later=False),
+    "GPL-3.0-only": _gnu("", "3", later=False),
     "GPL-2.0-or-later": _gnu("", "2"),
     "GPL-3.0-or-later": _gnu("", "3"),
     "LGPL-2.1-or-later": _gnu("Lesser ", "2.1", "library"),
@@ -115,6 +125,9 @@ TEMPLATES = {
 }
 #: Words in a row that a match must hold: what tells versions and variants apart.
 REQUIRED = {
+    **{f"SPDX-{k}": [k] for k in SPDX},
+    "GPL-2.0-only": ["GNU General", "version 2"],
+    "GPL-3.0-only": ["GNU General", "version 3"],
     "MIT-notice": ["MIT"],
     "Apache-2.0-notice": ["Apache", "2.0"],
     "Apache-2.0": ["Apache", "2.0"],

@@ -121,6 +121,64 @@ def test_a_shared_stretch_shares_a_fingerprint():
         assert set(license_scan.winnow(one, cfg)[0].tolist()) & set(license_scan.winnow(two, cfg)[0].tolist())
 
 
+def test_long_templates_are_winnowed_and_keep_a_fingerprint():
+    """Fewer fingerprints than grams, and still one in every text with a fifth of the words replaced, wherever they are."""
+    cfg, rng = license_scan.Scan(), random.Random(5)
+    assert cfg.window > 1
+    for n in (*range(cfg.short, 80), 300):
+        words = np.array([rng.getrandbits(60) for _ in range(n)], np.uint64)
+        prints = set(license_scan.winnow(words, cfg)[0].tolist())
+        assert len(prints) < n - cfg.gram + 1
+        lost = int((1 - cfg.least) * n + 1e-9)
+        for spread in (True, False):
+            at = [(i + 1) * (n + 1) // (lost + 1) - 1 for i in range(lost)] if spread else rng.sample(range(n), lost)
+            other = words.copy()
+            other[at] = [rng.getrandbits(60) for _ in at]
+            assert prints & set(license_scan.winnow(other, cfg)[0].tolist())
+
+
+@pytest.mark.parametrize("gaps", [(9,), (20,), (100,), (12, 12), (150, 30, 60)])
+def test_a_licence_with_words_put_in(table, gaps):
+    words = license_scan.TEMPLATES["MIT"].split()
+    step = len(words) // (len(gaps) + 1)
+    cut = [words[i * step:(i + 1) * step if i < len(gaps) else None] for i in range(len(gaps) + 1)]
+    inner = [w for i, part in enumerate(cut) for w in (*part, *(f"put{i}x{j}" for j in range(gaps[i] if i < len(gaps) else 0)))]
+    dropped = [w for i, w in enumerate(inner) if i % 40 != 7]
+    rows = license_scan.scan(table(list(enumerate(["x y " + " ".join(t) + " z" for t in (inner, dropped)])), "doc_id long, text string")).collect()
+    whole, part = (next(n for n in r.notices if n.license == "MIT") for r in sorted(rows))
+    assert whole.coverage == 1 and (whole.start, whole.end) == (4, 4 + len(" ".join(inner)) - 1)
+    assert 0.9 <= part.coverage < 1
+
+
+def test_words_too_far_apart_are_no_match(table):
+    words = license_scan.TEMPLATES["MIT"].split()
+    far = " ".join([*words[:80], *["other"] * (license_scan.Scan().gap + 1), *words[80:]])
+    assert "MIT" not in {n.license for n in license_scan.scan(table([(1, far)], "doc_id long, text string")).first().notices}
+
+
+def test_chains_against_every_subset():
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = sorted((license_scan.Stretch(o, o + n, p, p + n) for o, p, n in (
+            (rng.randrange(12), rng.randrange(30), rng.randint(1, 4)) for _ in range(rng.randint(0, 6)))), key=lambda s: (s.place, s.own))
+        best = 0
+        for n in range(2, len(parts) + 1):
+            for some in itertools.combinations(parts, n):
+                if all(a.own_end <= b.own and 0 <= b.place - a.end <= 5 for a, b in itertools.pairwise(some)):
+                    best = max(best, sum(s.own_end - s.own for s in some))
+        got = license_scan.chains(parts, 5)
+        heaviest = max((sum(s.own_end - s.own for s in c) for c in got), default=0)
+        single = max((s.own_end - s.own for s in parts), default=0)
+        assert heaviest == best or best <= single
+        assert all(a.own_end <= b.own and 0 <= b.place - a.end <= 5 for c in got for a, b in itertools.pairwise(c))
+
+
+def test_many_notices_in_one_text(table):
+    text = "Released under the MIT License. " * 20_000
+    (row,) = license_scan.scan(table([(1, text)], "doc_id long, text string")).collect()
+    assert len(row.notices) == 20_000 and row.notices[-1].end == len(text) - 2
+
+
 # 2. Language ID
 
 def test_grams_of_a_text():
@@ -439,6 +497,10 @@ def test_short_notices_and_variants(table):
     gpl, whole = license_scan.TEMPLATES["GPL-3.0-or-later"], license_scan.TEMPLATES["MIT"]
     given = {
         "Released under MIT License": ["MIT-notice"],
+        "# SPDX-License-Identifier: MIT": ["SPDX-MIT"],
+        "SPDX-License-Identifier: GPL-2.0-only": ["SPDX-GPL-2.0-only"],
+        "SPDX-License-Identifier: Unknown-9.0": [],
+        license_scan.TEMPLATES["GPL-2.0-only"]: ["GPL-2.0-only"],
         license_scan.TEMPLATES["CC-BY-SA-4.0-notice"]: ["CC-BY-SA-4.0-notice"],
         license_scan.TEMPLATES["CC-BY-4.0-notice"]: ["CC-BY-4.0-notice"],
         license_scan.TEMPLATES["CC-BY-4.0-notice"].replace("4.0", "3.0"): [],
@@ -452,7 +514,7 @@ def test_short_notices_and_variants(table):
     docs = table(list(enumerate(given)), "doc_id long, text string")
     rows = {r.doc_id: r.notices for r in license_scan.scan(docs).collect()}
     assert [[n.license for n in rows[i]] for i in range(len(given))] == list(given.values())
-    assert whole.endswith("DEALINGS IN THE SOFTWARE.") and rows[8][0].end == len(f"before {whole}") - 1
+    assert whole.endswith("DEALINGS IN THE SOFTWARE.") and rows[12][0].end == len(f"before {whole}") - 1
 
 
 def test_visits_are_fitted_in_little_memory_on_the_whole_sample():
