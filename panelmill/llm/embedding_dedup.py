@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelmill.llm.components import components
 from panelmill.llm.groups import map_groups
@@ -23,6 +24,8 @@ from panelmill.llm.scratch import stored
 
 #: Sums of half distances that are ranked at once.
 RANKED = 1 << 22
+#: In a list of visits, a cell that cannot hold a link.
+NO_VISIT = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -100,6 +103,24 @@ def nearest_cells(x: np.ndarray, grid: Grid, n: int) -> np.ndarray:
     return out
 
 
+def in_reach(x: np.ndarray, cells: np.ndarray, grid: Grid, threshold: float) -> np.ndarray:
+    """Whether each cell can hold a unit vector whose cosine with the row is ``threshold`` or more.
+
+    Such a vector is within sqrt(2 - 2 * threshold). In a half, the vectors whose nearest word is c are on c's side of the
+    plane midway between c and the row's own nearest word, so the distance to that plane is a lower bound; the squares of
+    both halves' bounds add up.
+    """
+    cut, bound = grid.first.shape[1], 0.0
+    for half, book, word in ((x[:, :cut], grid.first, cells // len(grid.second)), (x[:, cut:], grid.second, cells % len(grid.second))):
+        apart = _apart(half, book)
+        home = apart.argmin(axis=1)
+        further = np.take_along_axis(apart, word, 1) - apart[np.arange(len(x)), home][:, None]
+        between = np.sqrt(np.maximum(_apart(book, book), 0))[home[:, None], word]
+        away = np.divide(further, 2 * between, out=np.zeros_like(further), where=between > 1e-6)
+        bound = bound + np.square(np.maximum(away, 0))
+    return bound <= 2 - 2 * threshold + 1e-9
+
+
 def closer_cells(x: np.ndarray, cells: np.ndarray, grid: Grid) -> np.ndarray:
     """How many other cells each unit vector visits before its given cell (or as early: sums within rounding are counted).
 
@@ -153,12 +174,18 @@ def grids(distinct: DataFrame, cfg: MultiIndex) -> dict[int, tuple[Grid, int]]:
     return out
 
 
+def stored_kind(vectors: DataFrame) -> type:
+    """The floating type that holds the components without loss."""
+    return np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
+
+
 def index(distinct: DataFrame, cfg: MultiIndex) -> DataFrame:
-    """node, n, e (bytes of doubles), cell and visits of all vectors.
+    """node, n, e (bytes of the components as they are stored, floats or doubles), cell and visits of all vectors.
 
+    Of the nearest cells, those out of the threshold's reach are not visited.
     A length without a grid is a single cell (of a negative number), in which all vectors are compared, in blocks.
     """
-    found = grids(distinct, cfg)
+    found, kind = grids(distinct, cfg), stored_kind(distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,15 +194,17 @@ def index(distinct: DataFrame, cfg: MultiIndex) -> DataFrame:
                 own = np.flatnonzero(size == dim)
                 for lo in range(0, len(own), 1024):
                     part = batch.take(pa.array(own[lo:lo + 1024]))
-                    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                    x = unit(x)
+                    given = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
                     if dim in found:
                         grid, first = found[dim]
-                        cells = nearest_cells(x, grid, grid.visits).astype(np.int64) + first
+                        x = unit(given.astype(np.float64))
+                        near = nearest_cells(x, grid, grid.visits).astype(np.int64)
+                        cells = np.where(in_reach(x, near, grid, cfg.threshold), near + first, NO_VISIT)
+                        cells[:, 0] = near[:, 0] + first
                     else:
-                        cells = np.full((len(x), 1), -dim, np.int64)
+                        cells = np.full((len(given), 1), -dim, np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("node"), part.column("n"), pa.array([r.tobytes() for r in x], pa.binary()),
+                        [part.column("node"), part.column("n"), pa.array([r.tobytes() for r in given], pa.binary()),
                          pa.array(cells[:, 0].copy()), pa.array(list(cells), pa.list_(pa.int64()))],
                         ["node", "n", "e", "cell", "visits"])
     indexed = distinct.select("node", "n", "embedding").mapInArrow(run, "node long, n long, e binary, cell long, visits array<long>")
@@ -185,12 +214,13 @@ def index(distinct: DataFrame, cfg: MultiIndex) -> DataFrame:
 def in_cells(indexed: DataFrame, cfg: MultiIndex) -> DataFrame:
     """Residents and visitors of each cell with two residents or more, in blocks of bounded size either way."""
     home = F.col("cell").alias("home")
+    visited = F.explode(F.filter("visits", lambda c: c != NO_VISIT)).alias("cell")
     visitors = indexed.select(
-        F.explode("visits").alias("cell"), F.lit(False).alias("resident"), "node", "n", "e", home,
+        visited, F.lit(False).alias("resident"), "node", "n", "e", home,
         F.array().cast("array<long>").alias("visits"))
     residents = indexed.select("cell", F.lit(True).alias("resident"), "node", "n", "e", home, "visits")
     count = indexed.groupBy("cell").agg(F.count("*").alias("_r"))
-    coming = indexed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("_v"))
+    coming = indexed.select(visited).groupBy("cell").agg(F.count("*").alias("_v"))
     size = count.join(coming, "cell").filter("_v > 1").select(
         "cell", F.ceil(F.col("_r") / cfg.block).cast("int").alias("_r"), F.ceil(F.col("_v") / cfg.block).cast("int").alias("_v"))
     rows = residents.unionAll(visitors).join(size, "cell")
@@ -204,7 +234,7 @@ def in_cells(indexed: DataFrame, cfg: MultiIndex) -> DataFrame:
         .withColumn("block_v", F.explode(dealt(~F.col("resident"), F.col("_v")))).drop("_r", "_v"))
 
 
-def cell_links(indexed: DataFrame, cfg: MultiIndex) -> DataFrame:
+def cell_links(indexed: DataFrame, cfg: MultiIndex, kind: type = np.float64) -> DataFrame:
     """node, links, root: links found for a vector in a cell, and the least vector it is connected with there."""
     def run(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, n, home = (table.column(c).to_numpy() for c in ("node", "n", "home"))
@@ -213,7 +243,8 @@ def cell_links(indexed: DataFrame, cfg: MultiIndex) -> DataFrame:
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
             r, v = np.flatnonzero(resident[lo:hi]), np.flatnonzero(~resident[lo:hi])
             if len(r) and len(v):
-                e = np.frombuffer(b"".join(table.column("e").slice(lo, hi - lo).to_pylist()), np.float64).reshape(hi - lo, -1)
+                e = np.frombuffer(b"".join(table.column("e").slice(lo, hi - lo).to_pylist()), kind).reshape(hi - lo, -1)
+                e = unit(e.astype(np.float64))
                 seen = np.stack(visits.take(pa.array(lo + r)).to_numpy(zero_copy_only=False))
                 out += _compare(node[lo:hi], n[lo:hi], home[lo:hi], e, r, v, seen, cfg.threshold)
         columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else [(), (), ()])]
@@ -257,7 +288,7 @@ def near_duplicates(vectors: DataFrame, cfg: MultiIndex = MultiIndex()) -> DataF
     table = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     distinct = stored(classes(table), "vector-classes")
     links = distinct.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("root"))
-    links = links.unionAll(stored(cell_links(index(distinct, cfg), cfg), "cell-links"))
+    links = links.unionAll(stored(cell_links(index(distinct, cfg), cfg, stored_kind(distinct)), "cell-links"))
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = distinct.join(total, "node").join(joined, "node", "left").select(

@@ -210,15 +210,28 @@ def test_held_out_accuracy(spark):
 
 # 3. Embedding near-dedup
 
-def test_links_against_brute_force(table):
+def test_only_cells_without_a_link_are_out_of_reach():
+    rng = np.random.default_rng(12)
+    x = embedding_dedup.unit(np.repeat(rng.standard_normal((300, 8)), 4, axis=0) + rng.standard_normal((1200, 8)) * 0.12)
+    grid = embedding_dedup.Grid(x[rng.choice(1200, 20), :3], x[rng.choice(1200, 25), 3:], 60)
+    cells = embedding_dedup.nearest_cells(x, grid, 500)
+    reach, home = embedding_dedup.in_reach(x, cells, grid, 0.95), cells[:, 0]
+    a, b = np.nonzero(x @ x.T >= 0.95)
+    place = (cells[a] == home[b][:, None]).argmax(axis=1)
+    assert reach[a, place].all() and (home[a] != home[b]).sum() > 100 and reach.mean() < 0.5
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_links_against_brute_force(table, kind):
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((60, 32))
     x = np.concatenate([rng.standard_normal((900, 32)), np.repeat(centres, 10, axis=0) + rng.standard_normal((600, 32)) * 0.13, centres, centres])
     cfg = embedding_dedup.MultiIndex(cell_rows=8, block=16)
+    x = x.astype({"float": np.float32, "double": np.float64}[kind]).astype(np.float64)
     u = embedding_dedup.unit(x)
     near = u @ u.T >= cfg.threshold
     np.fill_diagonal(near, False)
-    rows = embedding_dedup.near_duplicates(table([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), cfg).collect()
+    rows = embedding_dedup.near_duplicates(table([(i, v) for i, v in enumerate(x.tolist())], f"vec_id long, embedding array<{kind}>"), cfg).collect()
     links = np.array([r.n_links for r in sorted(rows, key=lambda r: r.vec_id)])
     assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.95 * near.sum() > 1000
     label = roots(len(x), np.argwhere(np.triu(near)).tolist())
