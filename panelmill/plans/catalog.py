@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelmill.plans import benchmark_queries, quality_queries, return_queries, staged_queries, station_queries
+from panelmill.plans import benchmark_queries, file_queries, quality_queries, return_queries, staged_queries, station_queries
 from panelmill.plans.common import Entry
 
 CATALOG: dict[str, Entry] = {
@@ -11,4 +11,5 @@ CATALOG: dict[str, Entry] = {
     **benchmark_queries.QUERIES,
     **station_queries.QUERIES,
     **staged_queries.QUERIES,
+    **file_queries.QUERIES,
 }
