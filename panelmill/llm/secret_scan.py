@@ -2,7 +2,8 @@
 
 The cost of a value is the least sum, over all ways to cut it into segments, of the segments' guesses (as powers of
 ten): known words by rank, dates, repeats, keyboard walks, and brute force over the characters' alphabets for the
-rest. A value that is cheap to guess is taken for a placeholder or a plain word, a dear one for a secret.
+rest. A value that is cheap to guess is taken for a placeholder or a plain word, a dear one for a secret. What names a
+value and is none (a variable, a call, a name of known words) is left out first.
 """
 
 from __future__ import annotations
@@ -38,14 +39,22 @@ private server database token key pass passwd apikey demo sample dummy none null
 optional your here value string enter insert replace placeholder company internal external production staging
 development local localhost service account manager system config settings summer winter spring autumn love
 secure security temp temporary backup office super power computer internet google apple orange purple yellow
+passwort kennwort geheim contrasena clave motdepasse senha wachtwoord parola haslo heslo
 """.split()
+#: A variable of a shell, template, batch file or statement.
+VARIABLE = re.compile(r"\$+([A-Za-z_]\w*)|%([A-Za-z_]\w*)%|@([A-Za-z_]\w*)@|:([A-Za-z_]\w*)", re.ASCII)
+#: An expression of code: names joined by dots, arrows or colons; in quotes or settings also by hyphens.
+EXPRESSION = re.compile(r"[A-Za-z_]\w*(?:(?:\??\.|->|::)[A-Za-z_]\w*)*", re.ASCII)
+NAME = re.compile(r"[A-Za-z_]\w*(?:(?:\??\.|->|::|-|/)[A-Za-z_]\w*)*", re.ASCII)
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", re.ASCII)
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.ASCII)
 LEET = str.maketrans("4310$57@!", "aeiossta" + "i")
-WORD_LIKE = log10(26)
 NEXT_SEGMENT = 0.3
 #: More than any one word of the list costs, with a capital; six random digits cost 6.
 LEAST = 5.0
+#: A name of known words that costs this much is taken for a passphrase.
+PHRASE = 15.0
 
 
 def _neighbours() -> dict[str, str]:
@@ -71,19 +80,13 @@ def language() -> dict[str, int]:
     return {word: i + 1 for i, word in enumerate(dict.fromkeys((*COMMON, *own)))}
 
 
-def flat(value: str) -> list[float]:
-    """Brute force for each character: a lower-case letter's alphabet among letters, else a power of ten."""
-    letters = [True, *(c.isalpha() for c in value), True]
-    return [WORD_LIKE if all(letters[i:i + 3]) else 1.0 for i in range(len(value))]
-
-
 def by_alphabet(value: str) -> list[float]:
     """Brute force for each character: 10 digits, 26 letters (52 if the value has both cases), 33 signs, 100 beyond ASCII."""
     letter = log10(52 if value.lower() != value != value.upper() else 26)
     return [2.0 if c > "\x7f" else letter if c.isalpha() else 1.0 if c.isdigit() else log10(33) for c in value]
 
 
-def segments(value: str, words: dict[str, int], longest: int, charges: Sequence[float] | None = None) -> Iterator[tuple[int, int, float, str]]:
+def segments(value: str, words: dict[str, int], longest: int, charges: Sequence[float]) -> Iterator[tuple[int, int, float, str]]:
     """(start, end, log10 of guesses, what) of all patterns in the value. Runs are given whole and in their prefixes' stead."""
     low, plain = value.lower(), value.lower().translate(LEET)
     if len(low) != len(value):
@@ -113,8 +116,7 @@ def segments(value: str, words: dict[str, int], longest: int, charges: Sequence[
                 j += 1
             times = (j - i) // unit
             if times >= 2:
-                once = sum(charges[i:i + unit]) if charges else unit * (WORD_LIKE if value[i:i + unit].isalpha() else 1.0)
-                yield i, i + times * unit, once + log10(times), "repeat"
+                yield i, i + times * unit, sum(charges[i:i + unit]) + log10(times), "repeat"
                 i += (times - 1) * unit
             i += 1
     for step in (NEIGHBOURS.get, lambda c: chr(ord(c) + 1) + chr(max(0, ord(c) - 1))):
@@ -128,16 +130,15 @@ def segments(value: str, words: dict[str, int], longest: int, charges: Sequence[
             i = max(j - 1, i + 1)
 
 
-def guess_cost(value: str, words: dict[str, int] | None = None, charges: Sequence[float] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
-    """(log10 of the guesses, the cheapest segmentation). ``charges`` are what the characters cost by brute force (``flat``).
+def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[int, int, str]]]:
+    """(log10 of the guesses, the cheapest segmentation), with ``by_alphabet`` for the characters of no pattern.
 
     Linear in the value's length: brute force goes on character by character, and patterns are bounded or whole runs.
     """
-    words = words if words is not None else WORDS
+    charges = by_alphabet(value)
     ending: dict[int, list[tuple[int, float, str]]] = {}
     for i, j, cost, what in segments(value, words, max(map(len, words), default=0), charges):
         ending.setdefault(j, []).append((i, cost, what))
-    charges = flat(value) if charges is None else charges
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
     brute: list[tuple[float, int]] = [(float("inf"), 0)]
     for j in range(1, len(value) + 1):
@@ -155,7 +156,18 @@ def guess_cost(value: str, words: dict[str, int] | None = None, charges: Sequenc
     return best[-1][0], cuts[::-1]
 
 
-WORDS = {word: i + 1 for i, word in enumerate(COMMON)}
+def is_reference(value: str, quoted: bool, after: str, words: dict[str, int]) -> bool:
+    """Whether the value names another one: a variable, a call or index (``after`` is the next character), or a name of
+    several words, as ``my_secret_key`` and ``request.form`` are. Names are of known words, with single digits at most."""
+    if not quoted and after in ("(", "[") and EXPRESSION.fullmatch(value):
+        return True
+    variable = VARIABLE.fullmatch(value)
+    if not variable and not NAME.fullmatch(value):
+        return False
+    parts = PART.findall(variable[variable.lastindex] if variable else value)
+    spelled = [p.lower() for p in parts if not p.isdigit()]
+    known = all(len(p) <= 2 or p in words for p in spelled) and all(len(p) == 1 for p in parts if p.isdigit())
+    return known and any(len(p) > 2 for p in spelled) and len(spelled) > (0 if variable else 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -174,12 +186,17 @@ def _order(span: Sequence) -> tuple[int, int]:
 
 
 def costly_values(text: str, words: dict[str, int], least: float) -> list[tuple[int, int, str, float]]:
-    """(start, end, "cred", cost) of the values in credential contexts that cost at least 10**least guesses."""
+    """(start, end, "cred", cost) of the values in credential contexts that cost at least 10**least guesses, without references."""
     low = text.lower()
     if not any(hint in low for hint in HINTS) or not (":" in text or "=" in text):
         return []
-    found = ((m.start(1), m.end(1), "cred", guess_cost(m[1], words, by_alphabet(m[1]))[0]) for m in CONTEXT.finditer(text))
-    return [s for s in found if s[3] >= least]
+    found = []
+    for m in CONTEXT.finditer(text):
+        cost, value = guess_cost(m[1], words)[0], m[1]
+        named = cost < PHRASE and is_reference(value, text[m.start(1) - 1] in "\"'", text[m.end(1):m.end(1) + 1], words)
+        if cost >= least and not named:
+            found.append((m.start(1), m.end(1), "cred", cost))
+    return found
 
 
 def scan(docs: DataFrame, least: float = LEAST, common: Sequence[str] | None = None) -> DataFrame:
