@@ -14,12 +14,18 @@ def _keyed(rows: DataFrame, side: str, what: str) -> tuple[DataFrame, list[str]]
     """Rows with their join key; more than one row of a key is an error.
 
     A key column joins as its value and whether it is missing, so that missing equals missing. The count
-    is taken over the columns that are joined on, so it needs no shuffle or sort of its own.
+    is taken over the columns that are joined on, so it needs no shuffle or sort of its own. A hash of the key
+    comes first among them: almost every comparison of the sorts and the join ends at that one number. The key
+    travels once, as the columns that are joined on.
     """
     filled = {"date": F.lit("0001-01-01").cast("date"), "code": F.lit(""), "fund_type": F.lit("")}
-    values = {f"_{k}": F.coalesce(F.col(k), filled[k]) for k in KEYS} | {f"_no_{k}": F.col(k).isNull() for k in KEYS}
-    counted = rows.withColumns(values).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*values)))
-    return single(counted, "_rows", what, *KEYS).alias(side), list(values)
+    values = [F.coalesce(F.col(k), filled[k]).alias(f"_{k}") for k in KEYS]
+    missing = sum(F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(KEYS))
+    keyed = rows.select(F.xxhash64(*KEYS).alias("_hash"), *values, missing.alias("_missing"), *[c for c in rows.columns if c not in KEYS])
+    on = ["_hash", *(f"_{k}" for k in KEYS), "_missing"]
+    counted = keyed.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*on))).withColumns(
+        {k: F.when(F.col("_missing").bitwiseAND(1 << i) == 0, F.col(f"_{k}")) for i, k in enumerate(KEYS)})
+    return single(counted, "_rows", what, *KEYS).alias(side), on
 
 
 def consolidate_daily(prices: DataFrame, allocations: DataFrame, categories: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -93,3 +94,60 @@ def test_no_workbook_is_an_error(spark):
     table = spark.createDataFrame([("p", bytearray(b"text"))], "path string, content binary")
     with pytest.raises(PythonException):
         workbooks.read_workbooks(table, KIND).collect()
+
+
+def sheet_of(body):
+    """A workbook whose one sheet has the given rows, as text."""
+    book = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(workbooks.workbook({"S": ([], [])}))) as old, zipfile.ZipFile(book, "w") as new:
+        for part in old.namelist():
+            new.writestr(part, old.read(part) if "sheet1" not in part else f'<worksheet xmlns="{workbooks.MAIN.strip("{}")}"><sheetData>{body}</sheetData></worksheet>')
+        new.writestr("xl/sharedStrings.xml", f'<sst xmlns="{workbooks.MAIN.strip("{}")}"><si><t>d</t></si><si><t/></si><si><t>7</t></si></sst>')
+    return book.getvalue()
+
+
+HEADINGS = '<row r="1"><c t="s"><v>0</v></c><c t="inlineStr"><is><t>t</t></is></c><c r="D1" t="str"><v>v</v></c></row>'
+
+
+def test_plain_sheets_are_read_and_written_by_columns(spark, frame, monkeypatch):
+    """No row of a plain sheet goes through the XML parser, and no cell of a plain column is written by itself."""
+    df = frame([("A", f"2020-01-{1 + i % 28:02d}", f"<{i}>&", i / 7) for i in range(500)], "s string, d date, t string, v double")
+    written = []
+    monkeypatch.setattr(workbooks, "_cell", lambda value, cell=workbooks._cell: written.append(value) or cell(value))
+    batch = pa.table({"d": [DAY, None], "t": ["<a>&b", None], "v": [0.1, None], "n": [7, None]}).to_batches()[0]
+    cells = [workbooks._cells_of(c).to_pylist() for c in batch.columns]
+    assert written == []
+    assert cells == [[workbooks._cell(v) for v in c.to_pylist()] for c in batch.columns]
+    (book,) = workbooks.to_workbooks(df.coalesce(1), "s").collect()
+    monkeypatch.setattr(workbooks, "_rows", None)
+    rows = rows_of(book.content)
+    assert [(t, v) for _, (_, t, v), _ in rows] == [(f"<{i}>&", i / 7) for i in range(500)]
+
+
+@pytest.mark.parametrize("body", [
+    '<row><c/><c><v>12</v></c><c/><c><v>1e400</v></c></row><row/><row></row><row><c r="D4"><v>-1.5E-3</v></c><c><v>9</v></c></row>',
+    '<row r="2" spans="1:4"><c r="A2" s="1"><v>43890.7</v></c><c r="D2" t="e"><v>#N/A</v></c></row>\n <row><c t="e"><v>#N/A</v></c></row>',
+    '<row><c><v>9999999</v></c><c t="s"><v>1</v></c><c/><c t="s"><v>2</v></c></row><row><c t="str"><v/></c><c t="inlineStr"><v>no</v></c></row>',
+    '<row><c t="str"><v> 2020-02-29T00:00</v></c><c t="inlineStr"><is><t xml:space="preserve"> &lt;&amp;lt;&quot; ş </t></is></c></row>',
+    '<row><c r="B9"><v>1</v></c><c r="B9"><v>2</v></c><c r="B9"><v/></c><c/><c t="str"><v> 1_0 </v></c></row><row><c/><c/><c/><c><v>nan</v></c></row>',
+    '<row><c><v>1</v></c><c t="inlineStr"><is><r><t>a</t></r><r><t>b</t></r></is></c></row>',
+    '<row><c><v>1</v></c></row><!-- <row><c><v>2</v></c></row> --><row><c><f>A1</f><v>3</v></c><c t="str"><v>&#65;</v></c></row>',
+    "<row><c><v>1</v></c></row ><row><c t='str'><v>2020-01-01</v></c><c><v><![CDATA[</row>]]></v></c></row>",
+    '<row><c t="b"><v>1</v></c><c t="b"><v>1</v></c><c/><c t="b"><v>1</v></c></row><row><c><v>-1000000</v></c></row><row><c/><c><is><t>x</t></is></c></row>',
+])
+@pytest.mark.parametrize("bytes_a_piece", [16, 4 << 20])
+def test_both_ways_of_reading_agree(monkeypatch, body, bytes_a_piece):
+    book = sheet_of(HEADINGS + body)
+    monkeypatch.setattr(workbooks, "BYTES_A_PIECE", max(bytes_a_piece, 150))
+    by_columns = rows_of(book)
+    monkeypatch.setattr(workbooks, "_plain_rows", lambda *_: iter([None]))
+    assert str(by_columns) == str(rows_of(book)) and by_columns
+
+
+@pytest.mark.parametrize("body", ["<row><c><v>1</v></row>", "<row><c><v>1</c></v></row>", '<row><c t="s"><v>9</v></c></row>', '<row><c t="s"><v/></c></row>', "<row><c><v>\x01</v></c></row>", "<row><c><v>&no;</v></c></row>"])
+def test_broken_sheets_are_errors_both_ways(monkeypatch, body):
+    book = sheet_of(HEADINGS + body)
+    for plain in (workbooks._plain_rows, lambda *_: iter([None])):
+        monkeypatch.setattr(workbooks, "_plain_rows", plain)
+        with pytest.raises((SyntaxError, IndexError, ValueError)):
+            rows_of(book)
