@@ -26,15 +26,9 @@ SHEETS = ("mutual", "pension")
 ASSET_HEADINGS = dict(zip((f"p_{a}" for a in ASSETS), schema.ALLOCATION_NAMES))
 
 
-def _sheets(df: DataFrame, by: str, kinds: Sequence[str], name: str) -> dict[str, str]:
+def _sheets(df: DataFrame, by: str, kinds: Sequence[str], name: str, columns: Sequence[Column]) -> dict[str, str]:
     """A folder of CSV files with headings for each kind, also for one without rows. ``df`` is computed once."""
-    root = new_path(df.sparkSession, name)
-    files.write_stage(df, f"{root}/rows", [by])
-    rows = df.sparkSession.read.schema(df.schema).parquet(f"{root}/rows")
-    paths = {kind: f"{root}/{i}" for i, kind in enumerate(kinds)}
-    for kind, path in paths.items():
-        files.write_csv(rows.filter(F.col(by) == kind).drop(by), path)
-    return paths
+    return files.write_csv_by(df, new_path(df.sparkSession, name), by, kinds, columns)
 
 
 def _price_columns(**given: Column) -> list[Column]:
@@ -44,16 +38,15 @@ def _price_columns(**given: Column) -> list[Column]:
 
 def _consolidate_sheets(spark: SparkSession, d: str) -> DataFrame:
     """Prices, allocations and the category report written as CSV sheets, read back and consolidated."""
-    panel = fund_daily(spark, d).select("fund_type", *_price_columns(**{c: F.col(c) for c in schema.PRICE_NAMES.values()}))
+    quotes = _price_columns(**{c: F.col(c) for c in schema.PRICE_NAMES.values()})
     held = {heading: F.col(c) for c, heading in ASSET_HEADINGS.items()}
-    shares = allocations(spark, d).select(
-        "fund_type", F.col("date").alias("Tarih"), F.col("code").alias("Fon Kodu"), F.lit(None).cast("string").alias("Fon Adı"),
-        *[held.get(h, F.lit(None).cast("double")).alias(h) for h in schema.ALLOCATION_NAMES])
+    shares = [F.col("date").alias("Tarih"), F.col("code").alias("Fon Kodu"), F.lit(None).cast("string").alias("Fon Adı"),
+              *[held.get(h, F.lit(None).cast("double")).alias(h) for h in schema.ALLOCATION_NAMES]]
     report = new_path(spark, "report")
     files.write_csv(entities(spark, d).select(F.col("category").alias(REPORT[1]), F.col("name").alias("Fund Name"), F.col("code").alias(REPORT[0])), report)
 
-    prices = files.read_prices(spark, _sheets(panel, "fund_type", REGIONS, "prices"))
-    read = files.read_allocations(spark, _sheets(shares, "fund_type", REGIONS, "allocations"))
+    prices = files.read_prices(spark, _sheets(fund_daily(spark, d), "fund_type", REGIONS, "prices", quotes))
+    read = files.read_allocations(spark, _sheets(allocations(spark, d), "fund_type", REGIONS, "allocations", shares))
     names = {schema.ALLOCATION_NAMES[heading]: c for c, heading in ASSET_HEADINGS.items()}
     return consolidate_daily(
         prices.withColumn("people", F.col("people").cast("long")),
@@ -65,8 +58,8 @@ def _refused_lines(spark: SparkSession, d: str) -> DataFrame:
     """Quotes as sheets whose missing prices are a word, and how many lines of each sheet type that makes unreadable."""
     cells = {c: F.col(c) for c in ("date", "code", "name", "shares")}
     price = F.coalesce(F.col("price").cast("string"), F.lit("n/a"))
-    kind = F.when(F.col("code").cast("long") % 2 == 0, SHEETS[0]).otherwise(SHEETS[1]).alias("fund_type")
-    sheets = _sheets(raw_quotes(spark, d).select(kind, *_price_columns(price=price, **cells)), "fund_type", SHEETS, "quotes")
+    kind = F.when(F.col("code").cast("long") % 2 == 0, SHEETS[0]).otherwise(SHEETS[1])
+    sheets = _sheets(raw_quotes(spark, d).withColumn("fund_type", kind), "fund_type", SHEETS, "quotes", _price_columns(price=price, **cells))
     return files.reject_counts(spark, sheets, schema.PRICE_SHEET)
 
 
@@ -75,7 +68,7 @@ def _series_files(spark: SparkSession, d: str) -> DataFrame:
     daily = benchmark_daily(spark, d).select(
         "name", F.date_format("date", DAY_MONTH_YEAR).alias("Tarih"), F.lit("x").alias("Birim"), F.col("price").cast("string").alias("Fiyat"))
     notes = daily.select("name").distinct().select("name", F.lit("Notlar:").alias("Tarih"), F.lit("x").alias("Birim"), F.lit("1").alias("Fiyat"))
-    paths = _sheets(daily.unionAll(notes), "name", SERIES, "series")
+    paths = _sheets(daily.unionAll(notes), "name", SERIES, "series", [F.col(c) for c in ("Tarih", "Birim", "Fiyat")])
     return reduce(DataFrame.unionByName, [files.read_series(spark, path, name, DAY_MONTH_YEAR, (1, 3)) for name, path in paths.items()])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from panelmill.operators.guards import single
 
 Paths = str | Sequence[str]
 YEAR_FOLDER = "panel_year"
+SHEET_FOLDER = "sheet_number"
 BAD_LINE = "_bad_line"
 
 
@@ -142,3 +143,24 @@ def write_bucketed_panel(df: DataFrame, table: str, buckets: int, path: str | No
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def write_csv_by(df: DataFrame, path: str, by: str, kinds: Sequence[str], columns: Sequence[Column]) -> dict[str, str]:
+    """A folder of CSV files with headings, holding ``columns``, for each of the values ``kinds`` of the column ``by``.
+
+    One pass: every task writes a file for each kind it holds. Rows of other kinds are left out; a kind without rows
+    gets a file of headings. The writer needs a task's rows in order of their kind, so they are sorted here, before
+    ``columns`` adds empty ones.
+    """
+    number = F.array_position(F.array(*map(F.lit, kinds)), F.col(by))
+    ordered = df.withColumn(SHEET_FOLDER, number).filter(F.col(SHEET_FOLDER) > 0).sortWithinPartitions(SHEET_FOLDER)
+    sheets = ordered.select(*columns, SHEET_FOLDER)
+    options = {"header": "true", "encoding": "UTF-8"}
+    sheets.write.mode("overwrite").partitionBy(SHEET_FOLDER).options(**options).csv(path)
+    paths = {kind: f"{path}/{SHEET_FOLDER}={i}" for i, kind in enumerate(kinds, 1)}
+    spark = df.sparkSession
+    for folder in paths.values():
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            write_csv(spark.createDataFrame([], sheets.drop(SHEET_FOLDER).schema), folder)
+    return paths

@@ -13,6 +13,7 @@ from panelmill import schema
 from panelmill.functions import dates
 from panelmill.operators import benchmark
 from panelmill.operators.consolidate import consolidate_daily
+from panelmill.plans import file_queries
 from panelmill.sources import crosstab, files
 from panelmill.sources.sizes import broadcast_if_small, size_in_bytes
 
@@ -144,3 +145,25 @@ def test_bucketed_panel_needs_no_shuffle_for_windows(spark, frame):
         assert "Exchange" not in plan_of(panel.withColumn("p", previous(F.col("price"), ["code"])))
     finally:
         spark.sql("DROP TABLE panel_by_code")
+
+
+def test_sheets_by_kind_are_written_in_one_pass(spark, frame, tmp_path, monkeypatch):
+    """Rows of other kinds are left out, kinds without rows get headings, and nothing is staged in between."""
+    monkeypatch.setattr(files, "write_stage", None)
+    df = frame([("a b", "x", 1.5), ("c/d", None, 2.0), (None, "y", 3.0), ("other", "z", 4.0), ("a b", "w", None)], "kind string, t string, v double")
+    monkeypatch.setattr(file_queries, "new_path", lambda *_: str(tmp_path / "sheets"))
+    paths = file_queries._sheets(df, "kind", ("c/d", "none", "a b"), "sheets", [F.col("v"), F.lit(None).cast("string").alias("empty"), F.col("t")])
+    read = {kind: spark.read.csv(path, header=True) for kind, path in paths.items()}
+    assert {kind: rows.columns for kind, rows in read.items()} == dict.fromkeys(("c/d", "none", "a b"), ["v", "empty", "t"])
+    assert {kind: sorted(map(tuple, rows.collect()), key=str) for kind, rows in read.items()} == {
+        "c/d": [("2.0", None, None)], "none": [], "a b": [("1.5", None, "x"), (None, None, "w")]}
+
+
+def test_panel_join_sorts_by_one_number_first(frame):
+    """The key goes through the shuffle once, behind a hash that decides nearly every comparison."""
+    prices = frame([("2020-01-02", "A", "t", "n", 1.0)], "date date, code string, fund_type string, name string, price double")
+    shares = frame([("2020-01-02", "A", "t", 2.0), (None, "A", "t", 3.0)], "date date, code string, fund_type string, p_x double")
+    out = consolidate_daily(prices, shares, frame([("A", "c")], "code string, category string"))
+    lines = [x for x in plan_of(out).splitlines() if "Exchange hashpartitioning(" in x or "Sort [" in x]
+    assert sum("hashpartitioning(_hash" in x for x in lines) == 2 and any("Sort [_hash" in x for x in lines)
+    assert sorted(((str(r.date), r.code, r.price, r.p_x) for r in out.collect())) == [("2020-01-02", "A", 1.0, 2.0), ("None", "A", None, 3.0)]
