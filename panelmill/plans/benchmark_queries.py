@@ -9,8 +9,8 @@ from panelmill.operators import benchmark, cohort, compare, monthly
 from panelmill.operators.returns import monthly_returns
 from panelmill.plans.common import Entry, rounded, with_views
 from panelmill.plans.views import (
-    BENCHMARK_MONTHS_SQL, FUND_MONTHLY_SQL, SERIES, benchmark_daily, benchmark_months, entities, fund_daily, fund_monthly,
-    fund_monthly_between, table,
+    BENCHMARK_MONTHS_SQL, FUND_MONTHLY_SQL, SERIES, benchmark_daily, benchmark_months, daily_values, entities, fund_monthly,
+    fund_monthly_between, table, with_entities,
 )
 from panelmill.sources.crosstab import crosstab_series
 
@@ -179,7 +179,7 @@ def _crosstab(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "monthly_close": Entry(
-        lambda s, d: monthly.monthly_close(fund_daily(s, d)),
+        lambda s, d: with_entities(s, d, monthly.monthly_close(daily_values(s, d))),
         with_views("SELECT * FROM fund_monthly", FUND_MONTHLY_SQL)),
     "benchmark_month_end": Entry(
         lambda s, d: monthly.month_end(benchmark_daily(s, d)),

@@ -18,7 +18,7 @@ from panelmill.plans import quality_queries as qq
 from panelmill.plans.benchmark_queries import REGIONS, TYPES, _choices_sql, _pickable
 from panelmill.plans.common import Entry, rounded, with_views
 from panelmill.plans.views import (
-    FUND_DAILY_SQL, FUND_MONTHLY_SQL, RAW_QUOTES_SQL, allocations, entities, fund_daily, raw_quotes,
+    FUND_DAILY_SQL, FUND_MONTHLY_SQL, RAW_QUOTES_SQL, allocations, daily_values, entities, fund_daily, raw_quotes, with_entities,
 )
 from panelmill.sources import workbooks
 from panelmill.sources.closes import MonthCloses, closes_schema
@@ -53,11 +53,11 @@ def _staged_days(spark: SparkSession, d: str) -> DataFrame:
 
 def _closes_by_days(spark: SparkSession, d: str) -> DataFrame:
     """Month closes from the panel's days in three lots, none of which is in order."""
-    panel = fund_daily(spark, d)
+    panel = daily_values(spark, d)
     closes = MonthCloses(spark, new_path(spark, "closes"), closes_schema(panel))
     for lot in (2, 0, 1):
         closes.add(panel.filter(F.dayofmonth("date") % 3 == lot))
-    return closes.read()
+    return with_entities(spark, d, closes.read())
 
 
 def _running_measures(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.guards import single
 from panelmill.operators.monthly import in_months, month_end, monthly_close
 from panelmill.operators.reshape import spread
 from panelmill.sources.sizes import broadcast_if_small
@@ -75,6 +76,15 @@ def fund_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_values(spark, sf_dir).join(entities(spark, sf_dir), "code")
 
 
+def with_entities(spark: SparkSession, sf_dir: str, closes: DataFrame) -> DataFrame:
+    """Month closes of ``daily_values`` as those of ``fund_daily``: its columns and order, and a code of two entities,
+    which has two rows on every closing date there, is an error."""
+    known = entities(spark, sf_dir)
+    counted = known.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("code")))
+    joined = single(closes.join(counted, "code"), "_rows", "row on a closing date", "code", "data_date")
+    return joined.select(*[c for c in closes.columns if c != "date"], *[c for c in known.columns if c != "code"], "date")
+
+
 def fund_monthly(spark: SparkSession, sf_dir: str, *months: str) -> DataFrame:
     """Month closes, of the given months or all. Entity columns join the closes, not the days."""
     daily = daily_values(spark, sf_dir)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import shutil
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import as_dicts, final_plan_of, plan_of
@@ -221,3 +223,21 @@ def test_prefixes_and_histogram_with_one_hot_value(spark):
     got = {r.length: r.prefixes for r in flags.prefix_cardinality(names, longest=5).collect()}
     assert got == {k: len({x[:k] for x in plain}) for k in range(1, 6)}
     assert sum(r["count"] for r in as_dicts(histogram.histogram(names, "v", "f"))) == 9_000
+
+
+def test_closes_are_ranked_before_entity_columns_join(spark):
+    """What is sorted per month is the measures alone; the texts of the entities join the closes."""
+    below = plan_of(CATALOG["monthly_close"].run(spark, SF_DIR)).partition("WindowGroupLimit")[2]
+    assert "l_suppkey" in below and "Join [code" not in below
+
+
+@pytest.mark.parametrize("name", ["monthly_close", "monthly_close_by_days"])
+def test_closes_of_a_code_of_two_entities_are_refused(spark, tmp_path, name):
+    for table in ("region", "nation", "lineitem"):
+        shutil.copy(f"{SF_DIR}/{table}.parquet", tmp_path)
+    suppliers = spark.read.parquet(f"{SF_DIR}/supplier.parquet")
+    suppliers.write.parquet(str(tmp_path / "supplier.parquet"))
+    assert CATALOG[name].run(spark, str(tmp_path)).count() == CATALOG[name].run(spark, SF_DIR).count() > 0
+    suppliers.limit(1).write.mode("append").parquet(str(tmp_path / "supplier.parquet"))
+    with pytest.raises(PySparkException, match="closing date"):
+        CATALOG[name].run(spark, str(tmp_path)).collect()
